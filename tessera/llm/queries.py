@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality, url_filter
+from tessera.llm import bpe, mixing, quality, url_filter
 from tessera.llm.frame import read
 
 
+#: Installed with the library of public vocabularies, on every machine.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read(spark, sf_dir, "pages"))
 
@@ -18,11 +23,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_url_filter,
         op3_quality_rules,
+        op4_source_mixing,
+        op5_bpe,
     )
 }
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality.ORACLE}
