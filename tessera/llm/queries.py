@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, url_filter
+from tessera.llm import bpe, mixing, quality, simhash, substring, topk, url_filter
 from tessera.llm.frame import read
 
 
@@ -31,6 +32,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.searched(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -38,6 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op4_source_mixing,
         op5_bpe,
+        op7_substring_dedup,
+        op8_simhash,
+        op10_exact_topk,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality.ORACLE, "op10_exact_topk": topk.ORACLE}
