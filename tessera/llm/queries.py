@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, simhash, substring, topk, url_filter
+from tessera.llm import bpe, license_scan, lm, mixing, quality, simhash, substring, topk, url_filter
 from tessera.llm.frame import read
 
 
@@ -32,6 +32,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(read(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicated(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -41,6 +45,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.searched(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -52,8 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op4_source_mixing,
         op5_bpe,
+        op6_lm_scoring,
         op7_substring_dedup,
         op8_simhash,
+        op9_license_scan,
         op10_exact_topk,
     )
 }
