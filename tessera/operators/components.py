@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import staged
+from tessera.plans.scratch import few, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,9 +35,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     not returned: they are their own component.
     """
     now = staged(
-        edges.select(F.greatest(F.col(src), F.col(dst)).alias("a"), F.least(F.col(src), F.col(dst)).alias("b"))
+        few(edges.select(F.greatest(F.col(src), F.col(dst)).alias("a"), F.least(F.col(src), F.col(dst)).alias("b"))
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("a") != F.col("b")))
-        .distinct(),
+        .distinct()),
         "edges",
     )
     before = None
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == before or not mark["n"]:
             break
         before = mark
-        now = staged(_small_star(_large_star(now)), "edges")
+        now = staged(few(_small_star(_large_star(now))), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A plan that is read more than once, with its rows on the executors' disks.
+
+    The lineage stays, so blocks of a lost executor are computed again from the input.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Fewer partitions for a table that is small against what it was made from."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, parts // 8))
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back from there."""
     spark = df.sparkSession
