@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.frame import Frame, map_batches
-from tessera.plans.scratch import staged
+from tessera.plans.scratch import kept
 
 HEAD, TAILS, CLASSES = 1000, 128, 48
 KNOWN, LONGEST = 200_000, 64
@@ -206,7 +206,7 @@ class Trained:
 
 def train(texts: DataFrame, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES, known: int = KNOWN, rounds: int = ROUNDS) -> Trained:
     """A model of a table with one binary column ``text``."""
-    counts = staged(map_batches(texts, _count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counts = kept(map_batches(texts, _count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(known).collect()
     frequent = {bytes(r["word"]): r["c"] for r in top}
@@ -286,9 +286,8 @@ def scored(documents: DataFrame, head: int = HEAD, tails: int = TAILS, classes:
     m = trained.model
     shared = documents.sparkSession.sparkContext.broadcast(m)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    read = staged(
-        map_batches(rows, _score(shared), "rid long, doc_id long, n_tokens long, seen long, steps double, logs double, rare array<binary>, often array<long>"),
-        "read",
+    read = kept(
+        map_batches(rows, _score(shared), "rid long, doc_id long, n_tokens long, seen long, steps double, logs double, rare array<binary>, often array<long>")
     )
     rare = read.select("rid", F.explode(F.arrays_zip("rare", "often")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.often").alias("n"))
     more = (

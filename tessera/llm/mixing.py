@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.frame import SPLIT, WHITE, Frame, let
-from tessera.plans.scratch import staged
+from tessera.plans.scratch import kept
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -64,12 +64,12 @@ def whole(goal: dict[str | None, float]) -> dict[str | None, int]:
     return floor
 
 
-def _prefix(df: DataFrame, order: list[Column], amount: str, group: list[str], out: str, tag: str) -> DataFrame:
+def _prefix(df: DataFrame, order: list[Column], amount: str, group: list[str], out: str) -> DataFrame:
     """Adds the running total of ``amount`` in ``order`` within ``group``; the order has to
     begin with the group, so that a partition holds few groups."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = staged(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), tag)
+    ranged = kept(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part", *group).agg(F.sum(amount).alias("s")).orderBy("part").collect()
     seen: dict[tuple, int] = {}
     offsets = []
@@ -85,8 +85,7 @@ def _prefix(df: DataFrame, order: list[Column], amount: str, group: list[str], o
         on = on & F.col(g).eqNullSafe(F.col(f"g{i}"))
     within = Window.partitionBy("part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = ranged.withColumn("within", F.sum(amount).over(within))
-    kept = [c for c in df.columns]
-    return summed.join(F.broadcast(known), on).select(*kept, (F.col("before") + F.col("within")).alias(out))
+    return summed.join(F.broadcast(known), on).select(*df.columns, (F.col("before") + F.col("within")).alias(out))
 
 
 def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
@@ -111,7 +110,6 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS
         "size",
         ["source"],
         "upto",
-        "queue",
     )
     # Packets: each document once for each epoch, split where its source reaches its target.
     turns = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
@@ -142,7 +140,7 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS
     )
     budget = sum(exact.values())
     order = [F.col("finish"), F.col("shuffled"), F.col("rid"), F.col("epoch")]
-    merged = _prefix(packets, order, "n", [], "total", "merged")
+    merged = _prefix(packets, order, "n", [], "total")
     took = F.least(F.col("n"), F.greatest(F.lit(budget) - (F.col("total") - F.col("n")), F.lit(0)))
     taken = merged.withColumn("took", took).where("took > 0").groupBy("rid").agg(F.sum("took").alias("taken"))
     return known.join(taken, "rid", "left").select(
@@ -159,7 +157,7 @@ def mixed(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
         n_words(frame.col("text")).alias("size"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    found = plan(staged(rows, "sizes"), weights, epochs, seed)
+    found = plan(kept(rows), weights, epochs, seed)
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -172,11 +170,11 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EP
     """The mixed documents themselves: a row for each full turn of a document, and one with
     its first words where the mix takes a part of it; all columns are carried."""
     frame = Frame(documents)
-    table = staged(frame.df.withColumn("rid", F.monotonically_increasing_id()), "mixing")
+    table = kept(frame.df.withColumn("rid", F.monotonically_increasing_id()))
     rows = table.select(
         "rid", frame.col("doc_id").cast("long").alias("doc_id"), frame.col("source").alias("source"), n_words(frame.col("text")).alias("size")
     )
-    found = plan(staged(rows, "sizes"), weights, epochs, seed).where("taken > 0").select("rid", "size", "taken")
+    found = plan(kept(rows), weights, epochs, seed).where("taken > 0").select("rid", "size", "taken")
     turns = F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))
     taken = table.join(found, "rid").withColumn("turn", F.explode(turns))
     left = F.col("taken") - F.col("turn") * F.col("size")

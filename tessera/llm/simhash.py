@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.frame import Frame, map_batches
 from tessera.operators.components import connected_components
-from tessera.plans.scratch import staged
+from tessera.plans.scratch import few, kept, staged
 
 BITS = 64
 SEED = 42
@@ -197,7 +197,7 @@ def nodes(codes: DataFrame, radius: int, limit: int = NODE) -> DataFrame:
     while True:
         size = df.groupBy("path", "bits").agg(F.count(F.lit(1)).alias("n"))
         shared = size.where("n > 1")
-        large = staged(shared.where(F.col("n") > limit), "large-nodes")
+        large = staged(few(shared.where(F.col("n") > limit)), "large-nodes")
         small = shared.where(F.col("n") <= limit).drop("n")
         part = df.join(small, ["path", "bits"], "left_semi").select("fp", "path", "bits")
         done = part if done is None else done.unionByName(part)
@@ -258,19 +258,17 @@ def links(codes: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFram
 
 def grouped(found: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFrame:
     """``doc_id, fp`` -> the same with ``component_id``."""
-    low = staged(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "codes")
+    low = staged(few(found.groupBy("fp").agg(F.min("doc_id").alias("low"))), "codes")
     joined = connected_components(links(low.select("fp"), radius, limit))
     members = joined.select(F.col("node").alias("fp"), "component").join(low, "fp")
     lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
     group = members.join(lowest, "component").select("fp", "component_id")
-    every = staged(
-        low.join(group, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "groups"
-    )
+    every = staged(few(low.join(group, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))), "groups")
     return found.join(every, "fp")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fingerprint`` in hexadecimal and ``component_id`` of every row."""
-    found = staged(fingerprints(documents, shingle), "fingerprints")
+    found = kept(fingerprints(documents, shingle))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return grouped(found, radius).select("doc_id", text.alias("fingerprint"), "component_id")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.frame import Frame, map_batches
-from tessera.plans.scratch import staged
+from tessera.plans.scratch import few, kept, staged
 
 WINDOW = 50
 PHRASE = 10
@@ -196,9 +196,8 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     frame = Frame(documents)
     text = F.coalesce(frame.col("text"), F.lit("")).cast("binary")
     docs = frame.df.select(frame.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    scanned = staged(
-        map_batches(docs, _scan(window, phrase), "doc_id long, row long, n_words long, sha string, d1 long, d2 long, anchors array<long>", 500),
-        "scanned",
+    scanned = kept(
+        map_batches(docs, _scan(window, phrase), "doc_id long, row long, n_words long, sha string, d1 long, d2 long, anchors array<long>", 500)
     )
     named = scanned.where("doc_id is not null")
     low = named.where(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.min("doc_id").alias("low"))
@@ -207,20 +206,19 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     pairs = named.select("doc_id", "row", "d1", F.explode("anchors").alias("anchor"))
     recurring = pairs.groupBy("anchor").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("anchor")
     wanted = (
-        pairs.join(staged(recurring, "recurring"), "anchor")
+        pairs.join(staged(few(recurring), "recurring"), "anchor")
         .groupBy("doc_id", "row")
         .agg(F.collect_set("anchor").alias("anchors"))
         .join(copies, ["doc_id", "row"], "left_anti")
     )
     texts = docs.join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
-    located = staged(
-        map_batches(texts, _locate(window, phrase), "doc_id long, row long, text binary, starts array<int>, h1 array<long>, h2 array<long>", 500),
-        "located",
+    located = kept(
+        map_batches(texts, _locate(window, phrase), "doc_id long, row long, text binary, starts array<int>, h1 array<long>, h2 array<long>", 500)
     )
     windows = located.select("doc_id", "row", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "row", "w.starts", "w.h1", "w.h2")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     repeated = (
-        windows.join(staged(first.drop("last"), "first"), ["h1", "h2"])
+        windows.join(staged(few(first.drop("last")), "first"), ["h1", "h2"])
         .where("doc_id > first")
         .groupBy("doc_id", "row")
         .agg(F.collect_list("starts").alias("starts"))

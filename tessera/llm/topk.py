@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.frame import Frame, map_batches
-from tessera.plans.scratch import staged
+from tessera.plans.scratch import few, kept, staged
 
 K = 5
 PIVOTS = 96
@@ -184,7 +184,7 @@ def _spread(rows: DataFrame, needed: DataFrame, block: int, chunk: int) -> DataF
     many = rows.groupBy("n", "cell").agg(F.count(F.lit(1)).alias("rows"))
     asked = needed.groupBy("n", "cell").agg(F.count(F.lit(1)).alias("asks"))
     size = F.broadcast(
-        staged(many.join(asked, ["n", "cell"]).select("n", "cell", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), F.ceil(F.col("asks") / chunk).cast("int").alias("chunks")), "units")
+        staged(few(many.join(asked, ["n", "cell"]).select("n", "cell", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), F.ceil(F.col("asks") / chunk).cast("int").alias("chunks"))), "units")
     )
 
     def part(column: str, of: str) -> Column:
@@ -207,23 +207,20 @@ def _spread(rows: DataFrame, needed: DataFrame, block: int, chunk: int) -> DataF
 def searched(table: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row of ``vectors`` that ``is_query`` (over
     ``vec_id``) picks, against all rows."""
-    rows = staged(vectors(table).withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v"), "vectors")
+    rows = kept(vectors(table).withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "rid").limit(pivots).select("v").collect()
     fitted = Pivots([r["v"] for r in sample])
-    placed = staged(
-        map_batches(rows, _assign(fitted), "rid long, vec_id long, v array<double>, cell int, far double", 5_000).withColumn("n", F.size("v")),
-        "cells",
-    )
+    placed = kept(map_batches(rows, _assign(fitted), "rid long, vec_id long, v array<double>, cell int, far double", 5_000).withColumn("n", F.size("v")))
     cells: dict[int, list[tuple[int, float]]] = {}
     for r in placed.groupBy("n", "cell").agg(F.max("far").alias("r")).collect():
         cells.setdefault(r["n"], []).append((r["cell"], r["r"]))
     queries = placed.where(is_query)
     answer = "rid long, query_id long, vec_id long, score long"
-    near = staged(map_batches(_spread(placed, queries, block, chunk), _solve(k), answer, 5_000), "near")
+    near = kept(map_batches(_spread(placed, queries, block, chunk), _solve(k), answer, 5_000))
     order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     least = near.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("rid", F.col("score").cast("double").alias("least"))
     ready = queries.join(least, "rid", "left").select("rid", "vec_id", "v", "cell", "least")
-    needed = staged(map_batches(ready, _route(fitted, cells), "rid long, vec_id long, v array<double>, cell int", 1_000).withColumn("n", F.size("v")), "routed")
+    needed = kept(map_batches(ready, _route(fitted, cells), "rid long, vec_id long, v array<double>, cell int", 1_000).withColumn("n", F.size("v")))
     far = map_batches(_spread(placed, needed, block, chunk), _solve(k), answer, 5_000)
     return (
         near.unionByName(far)
