@@ -179,5 +179,9 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EP
     taken = table.join(found, "rid").withColumn("turn", F.explode(turns))
     left = F.col("taken") - F.col("turn") * F.col("size")
     name = frame.name("text")
-    cut = F.when(left < F.col("size"), first_words(F.col(name), left)).otherwise(F.col(name))
-    return frame.restore(taken.withColumn(name, cut))
+    partly = left < F.col("size")
+    out = taken.withColumn(name, F.when(partly, first_words(F.col(name), left)).otherwise(F.col(name)))
+    if "n_chars" in frame.names:
+        chars = frame.name("n_chars")
+        out = out.withColumn(chars, F.when(partly, F.length(F.col(name)).cast("long")).otherwise(F.col(chars)))
+    return frame.restore(out)

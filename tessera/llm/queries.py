@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, license_scan, lm, mixing, quality, simhash, substring, topk, url_filter
+from tessera.llm import bpe, license_scan, line_dedup, lm, mixing, quality, simhash, substring, topk, url_filter
 from tessera.llm.frame import read
 
 
@@ -16,6 +16,10 @@ from tessera.llm.frame import read
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_url_filter,
         op3_quality_rules,
         op4_source_mixing,

@@ -66,19 +66,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a long) of every row."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, numbered: bool = False) -> DataFrame:
+    """``rid`` (a number of the row), ``doc_id`` and ``fp`` (the 64 bits as a long) of every row."""
     frame = Frame(documents)
     df = frame.df.select(
-        frame.col("doc_id").cast("long").alias("doc_id"), F.coalesce(frame.col("text"), F.lit("")).cast("binary").alias("text")
+        (frame.col("rid") if numbered else F.monotonically_increasing_id()).alias("rid"), frame.col("doc_id").cast("long").alias("doc_id"), F.coalesce(frame.col("text"), F.lit("")).cast("binary").alias("text")
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["rid", "doc_id", "fp"])
 
-    return map_batches(df, work, "doc_id long, fp long")
+    return map_batches(df, work, "rid long, doc_id long, fp long")
 
 
 # -- the index of one node --------------------------------------------------------------
@@ -257,13 +257,20 @@ def links(codes: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFram
 
 
 def grouped(found: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFrame:
-    """``doc_id, fp`` -> the same with ``component_id``."""
+    """``fp`` and ``doc_id`` -> the same with ``component_id`` and a label of the group."""
     low = staged(few(found.groupBy("fp").agg(F.min("doc_id").alias("low"))), "codes")
     joined = connected_components(links(low.select("fp"), radius, limit))
     members = joined.select(F.col("node").alias("fp"), "component").join(low, "fp")
     lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
-    group = members.join(lowest, "component").select("fp", "component_id")
-    every = staged(few(low.join(group, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))), "groups")
+    group = members.join(lowest, "component").select("fp", "component_id", F.col("component").alias("label"))
+    every = staged(
+        few(
+            low.join(group, "fp", "left").select(
+                "fp", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("label", "fp").alias("label")
+            )
+        ),
+        "groups",
+    )
     return found.join(every, "fp")
 
 
@@ -272,3 +279,15 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     found = kept(fingerprints(documents, shingle))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return grouped(found, radius).select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near duplicates with all its columns: the one with the smallest
+    id (null comes last), of rows with that id the first."""
+    frame = Frame(documents)
+    table = kept(frame.df.withColumn("rid", F.monotonically_increasing_id()))
+    rows = table.select("rid", frame.col("doc_id").alias("doc_id"), frame.col("text").alias("text"))
+    found = grouped(kept(fingerprints(rows, shingle, numbered=True)), radius)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    stay = found.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.rid").alias("rid"))
+    return frame.restore(table.join(stay, "rid", "left_semi"))
