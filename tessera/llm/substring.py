@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.frame import Frame, map_batches
+from tessera.plans.prune import maybe_in
 from tessera.plans.scratch import few, kept, staged
 
 WINDOW = 50
@@ -205,13 +206,13 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
 
     pairs = named.select("doc_id", "row", "d1", F.explode("anchors").alias("anchor"))
     recurring = pairs.groupBy("anchor").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("anchor")
-    wanted = (
+    wanted = kept(
         pairs.join(staged(few(recurring), "recurring"), "anchor")
         .groupBy("doc_id", "row")
         .agg(F.collect_set("anchor").alias("anchors"))
         .join(copies, ["doc_id", "row"], "left_anti")
     )
-    texts = docs.join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
+    texts = maybe_in(docs, wanted, ["doc_id", "row"]).join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
     located = kept(
         map_batches(texts, _locate(window, phrase), "doc_id long, row long, text binary, starts array<int>, h1 array<long>, h2 array<long>", 500)
     )
@@ -224,7 +225,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
         .agg(F.collect_list("starts").alias("starts"))
     )
     cut = map_batches(
-        located.select("doc_id", "row", "text").join(repeated, ["doc_id", "row"]),
+        located.select("doc_id", "row", "text").join(repeated, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]),
         _remove(window),
         "doc_id long, row long, n_removed long, kept_sha string, kept binary",
         500,
