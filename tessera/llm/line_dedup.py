@@ -141,59 +141,55 @@ def distance(a: Column, b: Column, threshold: int) -> Column:
 # -- candidates -------------------------------------------------------------------------------
 
 
-def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment of a line: the last ones are longer by one."""
+def _measured(rows: DataFrame, threshold: int) -> DataFrame:
+    """Adds the length of each line and, for each length it is held against, what the even
+    partition of that length needs; as columns, so that they are computed once."""
     n = threshold + 1
-    short = F.floor(length / n).cast("int")
-    longer = length - short * n
-    return [
-        (
-            (F.lit(i) * short + F.greatest(F.lit(0), F.lit(i) - (n - longer)) + 1).cast("int"),
-            (short + F.when(F.lit(i) >= n - longer, 1).otherwise(0)).cast("int"),
-        )
-        for i in range(n)
-    ]
-
-
-def _entry(group: Column, s: Column, length: Column, i: int, start: Column, n: Column) -> Column:
-    key = F.xxhash64(group, length, F.lit(i), F.substring(s, start, n))
-    return F.struct(key.alias("key"), start.cast("int").alias("start"), n.cast("int").alias("n"))
+    rows = rows.select("id", "s", "group", F.length("s").alias("len"))
+    short = [F.expr(f"cast((len - {d}) div {n} as int)").alias(f"q{d}") for d in range(n)]
+    return rows.where(F.col("len") >= threshold).select("*", *short)
+
+
+def _segment(shorter: int, i: int, threshold: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment ``i`` of a line that is ``shorter`` than this one:
+    all are equally long but the last ones, which are longer by one."""
+    n = threshold + 1
+    short = F.col(f"q{shorter}")
+    longer = F.col("len") - shorter - short * n
+    start = F.lit(i) * short + F.greatest(F.lit(0), F.lit(i - n) + longer) + 1
+    return start.cast("int"), (short + F.when(F.lit(i) >= n - longer, 1).otherwise(0)).cast("int")
 
 
-def _entry_at(length: Column, i: int, n: Column):
-    return lambda at: _entry(F.col("group"), F.col("s"), length, i, at, n)
+def _entry(shorter: int, i: int, start: Column, n: Column) -> Column:
+    key = F.xxhash64("group", F.col("len") - shorter, F.lit(i), F.substring(F.col("s"), start, n))
+    return F.struct(key.alias("key"), start.cast("int").alias("start"), n.cast("int").alias("n"))
 
 
 def indexed(rows: DataFrame, threshold: int) -> DataFrame:
-    """``key, id, length, start, n`` of all segments of ``id, s, group``."""
-    length = F.length("s")
-    entries = [_entry(F.col("group"), F.col("s"), length, i, start, n) for i, (start, n) in enumerate(segments(length, threshold))]
-    return rows.select("id", "group", length.alias("length"), F.explode(F.array(*entries)).alias("e")).select("e.key", "id", "group", "length", "e.start", "e.n")
+    """``key, id, group, len, start, n`` of all segments of ``id, s, group``."""
+    entries = [_entry(0, i, *_segment(0, i, threshold)) for i in range(threshold + 1)]
+    return _measured(rows, threshold).select("id", "group", "len", F.explode(F.array(*entries)).alias("e")).select("e.key", "id", "group", "len", "e.start", "e.n")
 
 
 def probing(rows: DataFrame, threshold: int) -> DataFrame:
     """The same for the substrings that have to be looked up, by the multi-match-aware rule."""
-    size = F.length("s")
-    groups = []
+    entries = []
     for shorter in range(threshold + 1):
-        length = size - shorter
-        for i, (p, n) in enumerate(segments(length, threshold)):
+        for i in range(threshold + 1):
+            start, n = _segment(shorter, i, threshold)
             right = threshold - i
-            low = F.greatest(p - i, p + shorter - right, F.lit(1))
-            high = F.least(p + i, p + shorter + right, size - n + 1)
-            groups.append(
-                F.when(
-                    low <= high,
-                    F.transform(F.sequence(low, high), _entry_at(length, i, n)),
-                ).otherwise(F.array().cast("array<struct<key:bigint,start:int,n:int>>"))
-            )
-    return rows.select("id", "group", size.alias("length"), F.explode(F.flatten(F.array(*groups))).alias("e")).select("e.key", "id", "group", "length", "e.start", "e.n")
+            for off in range(max(-i, shorter - right), min(i, shorter + right) + 1):
+                at = start + off
+                fits = (at >= 1) & (at + n <= F.col("len") + 1)
+                entries.append(F.when(fits, _entry(shorter, i, at, n)))
+    found = _measured(rows, threshold).select("id", "group", "len", F.explode(F.array(*entries)).alias("e"))
+    return found.where("e is not null").select("e.key", "id", "group", "len", "e.start", "e.n")
 
 
 def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
     """Pairs of lines that meet under a key; of two lines of one length only one order."""
-    a = index.select("key", F.col("id").alias("a"), F.col("length").alias("la"))
-    b = probe.select("key", F.col("id").alias("b"), F.col("length").alias("lb"))
+    a = index.select("key", F.col("id").alias("a"), F.col("len").alias("la"))
+    b = probe.select("key", F.col("id").alias("b"), F.col("len").alias("lb"))
     return a.join(b, "key").where((F.col("lb") > F.col("la")) | (F.col("b") > F.col("a"))).select("a", "b")
 
 
