@@ -52,7 +52,8 @@ def _common(a: Column, b: Column, limit: int = 1 << 30) -> Column:
         same = (at + n <= F.least(F.length(a), F.length(b))) & (F.substring(a, at + 1, n) == F.substring(b, at + 1, n))
         return F.when(same, at + n).otherwise(at)
 
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+    useful = F.filter(F.array(*map(F.lit, steps)), lambda n: n <= F.least(F.length(a), F.length(b)))
+    return F.aggregate(useful, F.lit(0), step)
 
 
 def banded(a: Column, b: Column, threshold: int) -> Column:
@@ -160,30 +161,34 @@ def _segment(shorter: int, i: int, threshold: int) -> tuple[Column, Column]:
     return start.cast("int"), (short + F.when(F.lit(i) >= n - longer, 1).otherwise(0)).cast("int")
 
 
-def _entry(shorter: int, i: int, start: Column, n: Column) -> Column:
-    key = F.xxhash64("group", F.col("len") - shorter, F.lit(i), F.substring(F.col("s"), start, n))
-    return F.struct(key.alias("key"), start.cast("int").alias("start"), n.cast("int").alias("n"))
+def _entries(rows: DataFrame, threshold: int, places: list[tuple[int, int, int]]) -> DataFrame:
+    """``key, id, group, len, start, n`` of the substrings at ``places``: how much shorter the
+    other line is, the segment, and how far from its place in the other line."""
+    values: list[Column] = []
+    for shorter, i, off in places:
+        start, n = _segment(shorter, i, threshold)
+        at = start + off
+        key = F.xxhash64("group", F.col("len") - shorter, F.lit(i), F.substring(F.col("s"), at, n))
+        fits = (at >= 1) & (at + n <= F.col("len") + 1)
+        values += [F.when(fits, key) if off else key, at.cast("int"), n]
+    found = _measured(rows, threshold).select("id", "group", "len", F.stack(F.lit(len(places)), *values).alias("key", "start", "n"))
+    return found.where("key is not null").select("key", "id", "group", "len", "start", "n")
 
 
 def indexed(rows: DataFrame, threshold: int) -> DataFrame:
-    """``key, id, group, len, start, n`` of all segments of ``id, s, group``."""
-    entries = [_entry(0, i, *_segment(0, i, threshold)) for i in range(threshold + 1)]
-    return _measured(rows, threshold).select("id", "group", "len", F.explode(F.array(*entries)).alias("e")).select("e.key", "id", "group", "len", "e.start", "e.n")
+    """All segments of ``id, s, group``."""
+    return _entries(rows, threshold, [(0, i, 0) for i in range(threshold + 1)])
 
 
 def probing(rows: DataFrame, threshold: int) -> DataFrame:
-    """The same for the substrings that have to be looked up, by the multi-match-aware rule."""
-    entries = []
-    for shorter in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, n = _segment(shorter, i, threshold)
-            right = threshold - i
-            for off in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                at = start + off
-                fits = (at >= 1) & (at + n <= F.col("len") + 1)
-                entries.append(F.when(fits, _entry(shorter, i, at, n)))
-    found = _measured(rows, threshold).select("id", "group", "len", F.explode(F.array(*entries)).alias("e"))
-    return found.where("e is not null").select("e.key", "id", "group", "len", "e.start", "e.n")
+    """The substrings that have to be looked up, by the multi-match-aware rule."""
+    places = [
+        (shorter, i, off)
+        for shorter in range(threshold + 1)
+        for i in range(threshold + 1)
+        for off in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1)
+    ]
+    return _entries(rows, threshold, places)
 
 
 def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
