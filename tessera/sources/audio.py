@@ -168,7 +168,7 @@ def analyze(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [one(*r) for r in batch[["rel_path", "ext", "content"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=columns).astype({"key_root": "Int32", "key_mode": "Int32", "duration_ms": "Int64", "sample_rate": "Int64", "channels": "Int64"})
+            yield pd.DataFrame([{c: r.get(c) for c in columns} for r in rows], columns=columns, dtype=object)
 
     return files.select("rel_path", "ext", "content").mapInPandas(work, ANALYZED)
 

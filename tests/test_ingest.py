@@ -83,7 +83,7 @@ def test_refit(spark, tmp_path):
     s = spark.range(61).select(F.col("id"), F.lit("embedded").alias("status"), F.least(F.col("id"), F.lit(59)).alias("vector_id"))
     full = spark.createDataFrame([], schemas.schema("samples")).unionByName(s, allowMissingColumns=True)
     store.write({"vectors": spark.createDataFrame(v, "vector_id long, v array<float>"), "samples": full})
-    one = projection.refit(store, projection.Umap(neighbours=2), 5, fallback=projection.Pca())
+    one = projection.refit(store, projection.Umap(neighbours=1), 5, fallback=projection.Pca())
     assert (one.outcome, one.algorithm, one.placed) == ("full", "pca", 61)
     pts = {r["sample_id"]: r for r in store.read("projections").collect()}
     assert len(pts) == 61 and pts[59]["x"] != pts[60]["x"] and abs(pts[59]["x"] - pts[60]["x"]) < 0.1
