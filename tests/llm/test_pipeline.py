@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
     before = docs
@@ -18,7 +18,8 @@ def test_stages(spark):
         out = stage(spark, before, SF)
         if i + 1 < len(corpus_pipeline.STAGES):
             assert out.columns == names, name
-        before = spark.createDataFrame(out.toArrow().to_pandas(), out.schema)
+        out.write.parquet(f"{tmp_path}/{i}")
+        before = spark.read.parquet(f"{tmp_path}/{i}")
     good = {r[0] for r in quality.judged(docs).where("kept").select("doc_id").collect()}
     found = [r["doc_id"] for r in before.select("doc_id").collect()]
     assert set(found) <= good and len(found) > 100
