@@ -48,12 +48,14 @@ def _common(a: Column, b: Column, limit: int = 1 << 30) -> Column:
     """Length of the common prefix, by binary steps."""
     steps = [1 << k for k in range(limit.bit_length() - 1, -1, -1)]
 
-    def step(at: Column, n: Column) -> Column:
-        same = (at + n <= F.least(F.length(a), F.length(b))) & (F.substring(a, at + 1, n) == F.substring(b, at + 1, n))
-        return F.when(same, at + n).otherwise(at)
+    def search(most: Column) -> Column:
+        def step(at: Column, n: Column) -> Column:
+            same = (at + n <= most) & (F.substring(a, at + 1, n) == F.substring(b, at + 1, n))
+            return F.when(same, at + n).otherwise(at)
 
-    useful = F.filter(F.array(*map(F.lit, steps)), lambda n: n <= F.least(F.length(a), F.length(b)))
-    return F.aggregate(useful, F.lit(0), step)
+        return F.aggregate(F.filter(F.array(*map(F.lit, steps)), lambda n: n <= most), F.lit(0), step)
+
+    return let(F.least(F.length(a), F.length(b)), search)
 
 
 def banded(a: Column, b: Column, threshold: int) -> Column:
@@ -132,7 +134,7 @@ def distance(a: Column, b: Column, threshold: int) -> Column:
 
     def verify(t: Column) -> Column:
         longest = F.greatest(F.length(t["x"]), F.length(t["y"]))
-        run = banded(chars(t["x"]), chars(t["y"]), threshold)
+        run = let(chars(t["x"]), lambda x: let(chars(t["y"]), lambda y: banded(x, y, threshold)))
         # Both cores begin and end with a difference: at one edit they are a character long.
         return F.when(longest > 8, F.lit(2)).otherwise(run) if threshold == 1 else run
 
