@@ -72,4 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_topk,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality.ORACLE, "op10_exact_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
+    "op3_quality_rules": quality.ORACLE,
+    "op7_substring_dedup": substring.ORACLE,
+    "op10_exact_topk": topk.ORACLE,
+}

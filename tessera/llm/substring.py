@@ -242,3 +242,16 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
             F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept").cast("string")).alias("kept"),
         )
     )
+
+
+#: The same for DuckDB at 50 words.
+ORACLE = r"""
+with l as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from l),
+s as (select doc_id, unnest(range(1, len(ws) - 48)) as pos, ws from l where len(ws) >= 50),
+g as (select doc_id, pos, min(doc_id) over (partition by array_to_string(list_slice(ws, pos, pos + 49), ' ')) < doc_id as again from s),
+c as (select w.doc_id, w.pos, word, coalesce(max(case when again then 1 else 0 end) over (partition by w.doc_id order by w.pos rows between 49 preceding and current row), 0) as gone
+  from w left join g on g.doc_id = w.doc_id and g.pos = w.pos),
+k as (select doc_id, sum(gone)::bigint as n_removed, coalesce(string_agg(word, ' ' order by pos) filter (where gone = 0), '') as kept from c group by doc_id)
+select l.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from l left join k on k.doc_id = l.doc_id
+"""

@@ -163,7 +163,7 @@ def test_line_dedup(docs, empty):
         for x in lines[i]:
             if x.strip(WHITE):
                 first.setdefault(root(x), i)
-    want = {}
+    want, own = {}, {}
     for i, v in lines.items():
         seen, kept = set(), []
         for x in v:
@@ -172,11 +172,14 @@ def test_line_dedup(docs, empty):
                     continue
                 seen.add(root(x))
             kept.append(x)
+        lost = [first[root(x)] for x in v if x.strip(WHITE) and x not in kept]
+        own[i] = min([i, *lost])
         want[i] = (len(v), len(v) - len(kept), sum(links[x] for x in set(v)), hashlib.sha256("\n".join(kept).encode()).hexdigest(), "\n".join(kept))
     got = line_dedup.report(docs).collect()
     assert len(got) == len(corpus())
     for r in got:
         assert (r["n_lines"], r["n_removed"], r["n_links"], r["kept_sha256"]) == want[r["doc_id"]][:4]
+        assert r["class_id"] == own[r["doc_id"]]
     kept = line_dedup.deduplicated(docs)
     assert kept.columns == docs.columns
     stay = {i for i, w in want.items() if w[1] == 0 or w[4].strip(WHITE)}
