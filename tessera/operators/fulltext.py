@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import tokens_of
+from tessera.plans.ship import ensure
 
 OPERATORS = ("AND", "OR", "NOT")
 ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -139,6 +140,7 @@ def postings(docs: DataFrame, fields: list[str], accents: bool = True) -> DataFr
     for i, name in enumerate(fields):
         text = F.coalesce(F.col(name), F.lit(""))
         if accents:
+            ensure(docs.sparkSession)
             text = F.pandas_udf(_folded, "string")(text)
         parts.append(docs.select("doc_id", F.lit(i).alias("field"), F.posexplode(tokens_of(text)).alias("pos", "token")))
     return reduce(DataFrame.unionByName, parts)

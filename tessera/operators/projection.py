@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import catalog, columns, vectors
+from tessera.plans.ship import ensure
 from tessera.schemas import Degenerate, RaggedDimensions, TooFewSamples
 
 INCREMENTAL_SHARE = 0.02
@@ -59,6 +60,7 @@ def _partials(data: DataFrame, width: int, mean: np.ndarray | None) -> tuple[int
                 total += x.sum(axis=0) if mean is None else ((x - mean).T @ (x - mean)).ravel()
         yield pd.DataFrame({"n": [n] * len(total), "i": np.arange(len(total)), "s": total})
 
+    ensure(data.sparkSession)
     sums = data.select("v").mapInPandas(work, "n long, i int, s double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("i").toArrow()
     return (sums["n"][0].as_py() if len(sums) else 0), sums["s"].to_numpy()
 

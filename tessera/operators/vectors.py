@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators.components import connected_components
+from tessera.plans.ship import ensure
 
 MAX_K, NEIGHBOURS = 200, 15
 #: Query vectors that one pass over the matrix is held against at a time.
@@ -67,6 +68,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, metric:
     of them; each block is one pass with a bounded top-k in every partition and a merge.
     Score is the cosine, or for ``euclid`` q.x - |x|^2/2, which orders like the distance.
     """
+    ensure(vectors.sparkSession)
     out: DataFrame | None = None
     held: list = []
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import signal
+from tessera.plans.ship import ensure
 from tessera.schemas import Overflow
 
 # What a scan takes for audio.
@@ -170,6 +171,7 @@ def analyze(files: DataFrame) -> DataFrame:
             rows = [one(*r) for r in batch[["rel_path", "ext", "content"]].itertuples(index=False)]
             yield pd.DataFrame([{c: r.get(c) for c in columns} for r in rows], columns=columns, dtype=object)
 
+    ensure(files.sparkSession)
     return files.select("rel_path", "ext", "content").mapInPandas(work, ANALYZED)
 
 
