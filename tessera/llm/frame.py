@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.ship import ensure
+
 #: Fixed by the contract: a word is a run of anything but these six characters.
 WHITE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -68,5 +70,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
+    ensure(df.sparkSession)
     small_batches(df.sparkSession, rows)
     return df.mapInArrow(work, schema)

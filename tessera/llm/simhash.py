@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.frame import Frame, map_batches
 from tessera.operators.components import connected_components
+from tessera.plans.prune import maybe_in
 from tessera.plans.scratch import few, kept, staged
 
 BITS = 64
@@ -106,28 +107,16 @@ class GrayIndex:
             every, some = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
             self.levels.append((every, some))
 
-    def links(self, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``codes`` of a forest over all pairs within ``radius``: each code with its
-        neighbours to the left, thinned to one edge a merge of two trees."""
-        parent = np.arange(len(self.codes))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        left, right = [], []
+    def links(self, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``codes`` of a minimum spanning forest over all pairs within ``radius``:
+        codes that are linked at any smaller radius are connected by edges of that radius."""
+        left, right, apart = (np.zeros(0, np.int64) for _ in range(3))
         for at in range(0, len(self.codes), block):
-            asked = np.arange(at, min(at + block, len(self.codes)))
-            a, b = self.search(asked, radius)
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                x, y = root(i), root(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    left.append(i)
-                    right.append(j)
-        return np.array(left, np.int64), np.array(right, np.int64)
+            a, b = self.search(np.arange(at, min(at + block, len(self.codes))), radius)
+            if len(a):
+                d = np.bitwise_count(self.codes[a] ^ self.codes[b]).astype(np.int64)
+                left, right, apart = _forest(np.concatenate((left, a)), np.concatenate((right, b)), np.concatenate((apart, d)), len(self.codes))
+        return left, right
 
     def search(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs ``(asked, found)`` with found < asked, all codes within ``radius``."""
@@ -155,6 +144,27 @@ class GrayIndex:
         return query[keep], place[keep]
 
 
+def _forest(left: np.ndarray, right: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges that Kruskal's algorithm keeps."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    order = np.argsort(apart, kind="stable")
+    kept = []
+    for at, i, j in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        x, y = root(i), root(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(at)
+    keep = np.array(kept, np.int64)
+    return left[keep], right[keep], apart[keep]
+
+
 # -- the distributed index ----------------------------------------------------------------
 
 
@@ -256,10 +266,11 @@ def links(codes: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFram
     return map_batches(held, _node_links(radius), "src long, dst long", 10_000)
 
 
-def grouped(found: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFrame:
-    """``fp`` and ``doc_id`` -> the same with ``component_id`` and a label of the group."""
+def grouped(found: DataFrame, radius: int = RADIUS, limit: int = NODE, edges: DataFrame | None = None) -> DataFrame:
+    """``fp`` and ``doc_id`` -> the same with ``component_id`` and a label of the group, by links
+    within ``radius`` bits or by given ``edges`` between fingerprints."""
     low = staged(few(found.groupBy("fp").agg(F.min("doc_id").alias("low"))), "codes")
-    joined = connected_components(links(low.select("fp"), radius, limit))
+    joined = connected_components(links(low.select("fp"), radius, limit) if edges is None else edges)
     members = joined.select(F.col("node").alias("fp"), "component").join(low, "fp")
     lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
     group = members.join(lowest, "component").select("fp", "component_id", F.col("component").alias("label"))
@@ -281,13 +292,56 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     return grouped(found, radius).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def similarity(a: bytes, b: bytes, width: int) -> float:
+    """Jaccard similarity of the word shingles of two texts."""
+    one, two = (set(zip(*(w[i:] for i in range(width)), strict=False)) or {tuple(w)} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def _confirm(width: int, least: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [similarity(a.as_py(), b.as_py(), width) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = pa.array(np.flatnonzero(fine))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["src", "dst"])
+
+    return work
+
+
+def similar_links(rows: DataFrame, found: DataFrame, radius: int, wide: int, width: int, least: float) -> DataFrame:
+    """Links between fingerprints: all within ``radius`` bits (as a forest), and of those within
+    ``wide`` bits the ones whose texts have shingles of ``width`` words in common to ``least``.
+
+    ``rows`` are ``rid, text``, ``found`` their fingerprints.  The wide candidates are a minimum
+    spanning forest as well, so a large group of near copies gives as many as it has texts.
+    """
+    first = found.groupBy("fp").agg(F.min("rid").alias("rid"))
+    edges = kept(links(first.select("fp"), wide).distinct())
+    apart = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
+    far = edges.where(apart > radius)
+    ends = far.select(F.col("src").alias("fp")).unionByName(far.select(F.col("dst").alias("fp"))).distinct().join(first, "fp")
+    texts = kept(maybe_in(rows, ends, ["rid"]).join(ends, "rid").select("fp", F.coalesce("text", F.lit("")).cast("binary").alias("text")))
+    both = far.join(texts.select(F.col("fp").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("fp").alias("dst"), F.col("text").alias("b")), "dst")
+    confirmed = map_batches(both.select("src", "dst", "a", "b"), _confirm(width, least), "src long, dst long", 500)
+    return edges.where(apart <= radius).unionByName(confirmed)
+
+
+#: Near duplicates in general: candidates within so many bits whose five-word shingles agree.
+WIDE, WORDS, SIMILAR = 8, 5, 0.8
+
+
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = WIDE, width: int = WORDS, least: float = SIMILAR) -> DataFrame:
     """One row of each group of near duplicates with all its columns: the one with the smallest
-    id (null comes last), of rows with that id the first."""
+    id (null comes last), of rows with that id the first.
+
+    Two texts are near duplicates within ``radius`` bits, or within ``wide`` bits if their
+    shingles of ``width`` words have a similarity of ``least`` or more.
+    """
     frame = Frame(documents)
     table = kept(frame.df.withColumn("rid", F.monotonically_increasing_id()))
     rows = table.select("rid", frame.col("doc_id").alias("doc_id"), frame.col("text").alias("text"))
-    found = grouped(kept(fingerprints(rows, shingle, numbered=True)), radius)
+    found = kept(fingerprints(rows, shingle, numbered=True))
+    marked = grouped(found, radius, edges=similar_links(rows.select("rid", "text"), found, radius, wide, width, least))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    stay = found.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.rid").alias("rid"))
+    stay = marked.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.rid").alias("rid"))
     return frame.restore(table.join(stay, "rid", "left_semi"))

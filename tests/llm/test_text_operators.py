@@ -436,7 +436,14 @@ def test_simhash(docs, empty):
         assert (r["fingerprint"], r["component_id"]) == (f"{codes[r['doc_id']]:016x}", label[r["doc_id"]])
     one = simhash.one_of_each(docs)
     assert one.columns == docs.columns
-    assert sorted(r[0] for r in one.collect()) == sorted(set(label.values()))
+    # Each group keeps its smallest id; more goes only if it is similar to another text.
+    left = {r[0] for r in one.collect()}
+    assert left <= set(label.values())
+    texts = unique(docs)
+    for i in set(label.values()) - left:
+        assert any(simhash.similarity((texts[i] or "").encode(), (t or "").encode(), 5) >= 0.8 for j, t in texts.items() if j != i)
+    close = [(i, j) for i in left for j in left if i < j and (codes[i] ^ codes[j]).bit_count() <= 2]
+    assert not close
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
@@ -461,6 +468,24 @@ def test_simhash_null_ids(spark):
     assert simhash.one_of_each(df).count() == 3
 
 
+def test_similar_texts_are_one_group(spark):
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 150)] for _ in range(20)]
+    rows = []
+    for k, w in enumerate(base):
+        rows.append((10 * k, " ".join(w)))
+        for copy in range(1, 4):
+            v = list(w)
+            for at in rng.integers(0, 150, copy):
+                v[at] = "changed"
+            rows.append((10 * k + copy, " ".join(v)))
+    texts = dict(rows)
+    left = {r[0] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {10 * k for k in range(20)} <= left
+    near = [i for i in texts if i % 10 and simhash.similarity(texts[i].encode(), texts[i - i % 10].encode(), 5) >= 0.8]
+    assert len(left & set(near)) <= 0.15 * len(near)
+
+
 def test_gray_index():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
