@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import ascii_fold
-from tessera.schemas import Invalid, NotFound, SampleStatus, schema
+from tessera.schemas import Busy, Invalid, NotFound, SampleStatus, schema
 
 KEPT = ("content_hash", "duration_ms", "sample_rate", "channels")
 
