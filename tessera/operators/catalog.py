@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import ascii_fold
+from tessera.plans.scratch import kept
 from tessera.schemas import Busy, Invalid, NotFound, SampleStatus, schema
 
 KEPT = ("content_hash", "duration_ms", "sample_rate", "channels")
@@ -148,7 +149,7 @@ def upsert_samples(old: DataFrame, new: DataFrame, now: int) -> DataFrame:
 def number(df: DataFrame, order: list[Column], start: int, column: str) -> DataFrame:
     """Consecutive numbers in an order: counts of range partitions plus places within."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.broadcast(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
@@ -269,15 +270,15 @@ def activate(runs: DataFrame, points: DataFrame, run_id: int, now: int) -> tuple
     """Make a run the active one and drop finished others; runs in flight stay."""
     require(runs, F.col("id") == run_id, f"run {run_id}")
     mine = F.col("id") == run_id
-    kept = runs.where(mine | F.col("completed_at").isNull())
-    kept = kept.withColumn("is_active", mine).withColumn("completed_at", F.when(mine, F.coalesce("completed_at", F.lit(now))).otherwise(F.col("completed_at")))
-    return kept, points.join(kept.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*points.columns)
+    stay = runs.where(mine | F.col("completed_at").isNull())
+    stay = stay.withColumn("is_active", mine).withColumn("completed_at", F.when(mine, F.coalesce("completed_at", F.lit(now))).otherwise(F.col("completed_at")))
+    return stay, points.join(stay.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*points.columns)
 
 
 def discard(runs: DataFrame, points: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame]:
     """Drop a run that is not active; an active one stays (F8)."""
-    kept = runs.where((F.col("id") != run_id) | F.col("is_active"))
-    return kept, points.join(kept.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*points.columns)
+    stay = runs.where((F.col("id") != run_id) | F.col("is_active"))
+    return stay, points.join(stay.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*points.columns)
 
 
 def newest_runs(runs: DataFrame) -> DataFrame:

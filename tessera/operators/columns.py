@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
+from tessera.plans.scratch import kept
 
 # Ramps and the colour of a missing value.
 MISSING = (0.3, 0.32, 0.38)
@@ -34,7 +35,8 @@ def at_rank(df: DataFrame, column: str, ranks: DataFrame) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
+    # Kept, so that both uses see the same partitions.
+    ranged = kept(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.sum("n").alias("s"))
     offset = sums.withColumn("before", F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
     within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

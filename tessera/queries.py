@@ -524,3 +524,80 @@ select doc_id, round(rank, 6) + 0.0 as rank from r order by r.rank, doc_id limit
 )
 def bm25_topk(spark, sf):
     return fulltext.ranked(postings(spark, sf), fulltext.parse('"avec" "pour"'), limit=20).select("doc_id", r6(F.col("rank"), "rank"))
+
+
+# -- catalogue -----------------------------------------------------------------------------------------------------
+
+
+@query("with u as (select unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings) select dim::int as dim, round(avg(x), 6) + 0.0 as mean from u group by dim")
+def vector_mean(spark, sf):
+    return columns.moments(vecs(spark, sf)).select("dim", r6(F.col("mean"), "mean"))
+
+
+@query("""
+with d as (select sqrt((embedding[1]::double - embedding[3]::double) ** 2 + (embedding[2]::double - embedding[4]::double) ** 2) as d from embeddings),
+r as (select d, row_number() over (order by d) as rn, count(*) over () as n from d),
+e as (select sqrt((max(embedding[3]::double) - min(embedding[3]::double)) ** 2 + (max(embedding[4]::double) - min(embedding[4]::double)) ** 2) as extent from embeddings)
+select round(d / extent, 6) + 0.0 as relative from r, e where rn = n // 2 + 1
+""")
+def relative_displacement(spark, sf):
+    p = points(spark, sf)
+    return columns.displacement(p.where("run_id = 1"), p.where("run_id = 2")).select(r6(F.col("relative"), "relative"))
+
+
+@query("select vec_id as sample_id, round((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.1) ** 2, 6) + 0.0 as d2 from embeddings")
+def all_by_distance(spark, sf):
+    return columns.by_distance(points(spark, sf).where("run_id = 1"), 0.1, 0.1).select("sample_id", r6(F.col("d2"), "d2"))
+
+
+@query("select o_orderkey as id, o_orderdate as created_at from orders order by o_orderdate desc, o_orderkey desc limit 50")
+def newest_first(spark, sf):
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return catalog.newest_runs(rows).limit(50)
+
+
+@query("select vec_id as vector_id from embeddings e where exists (select 1 from labels l where l.doc_id = e.vec_id)")
+def compaction(spark, sf):
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("v"))
+    return catalog.compact(v, load(spark, sf, "labels").select(F.col("doc_id").alias("vector_id"))).select("vector_id")
+
+
+@query("select round((count(*) - (select count(*) from labels where doc_id in (select vec_id from embeddings))) / count(*), 6) + 0.0 as dead_ratio from embeddings")
+def dead_ratio(spark, sf):
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"))
+    live = load(spark, sf, "labels").join(v.withColumnRenamed("vector_id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("vector_id"))
+    return catalog.dead_ratio(v, live).select(r6(F.col("dead_ratio"), "dead_ratio"))
+
+
+@query("select c_custkey as id, r_name || '/' || n_name || '/' || c_name as absolute_path, c_acctbal > 0 as embedded from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def path_projection(spark, sf):
+    places = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    roots = places.select(F.col("n_nationkey").alias("id"), F.concat_ws("/", "r_name", "n_name").alias("path"))
+    rows = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("root_id"), F.col("c_name").alias("rel_path"), F.when(F.col("c_acctbal") > 0, 1).alias("vector_id"))
+    return catalog.with_paths(rows, roots).select("id", "absolute_path", "embedded")
+
+
+@query("select s_suppkey as id, row_number() over (order by s_name, s_suppkey) + 99 as number from supplier")
+def numbered(spark, sf):
+    rows = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    return catalog.number(rows, [F.col("s_name"), F.col("id")], 100, "number").select("id", "number")
+
+
+@query("select user_id, case when count(*) > 40 then ceil((count(*) - 40) * 3.5 / 40)::bigint end as eta from events group by user_id")
+def eta_seconds(spark, sf):
+    n = load(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("user_id", scalar.eta_seconds(F.col("n"), F.lit(40), F.lit(3.5)).alias("eta"))
+
+
+@query("select turn as sample_id, conv_id as collection_id, turn as position, 'doc' || d.doc_id as filename from conversations join documents d on d.doc_id = turn where conv_id = 4")
+def members_in_order(spark, sf):
+    members = load(spark, sf, "conversations").select(F.col("conv_id").alias("collection_id"), F.col("turn").alias("sample_id"), F.col("turn").alias("position"))
+    names = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"))
+    return catalog.collection_members(members, names, 4)
+
+
+@query("select vec_id as sample_id, case when quality is null then 0.3 else 0.5 end::double as r from embeddings left join labels on doc_id = vec_id")
+def fit_colour_fallback(spark, sf):
+    p = points(spark, sf).where("run_id = 1").join(load(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), "quality"), "sample_id", "left")
+    half = F.when(F.col("quality").isNotNull(), 0.5)
+    return columns.fitted_colours(p.select("sample_id", *(half.alias(c) for c in "rgb"))).select("sample_id", "r")
