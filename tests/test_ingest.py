@@ -40,13 +40,13 @@ def test_decode():
 @pytest.fixture
 def library(spark, tmp_path):
     root = tmp_path / "lib"
-    (root / "drums").mkdir(parents=True)
-    (root / "keys").mkdir()
-    (root / "drums/kick.wav").write_bytes(wav(sine(60, 0.5)))
-    (root / "drums/copy.WAV").write_bytes(wav(sine(60, 0.5)))
-    (root / "keys/chord.wav").write_bytes(wav(np.repeat(sine(440, 1.0, 44100), 2), 44100, 2, "float"))
-    (root / "keys/bad.wav").write_bytes(b"x" * 100)
-    (root / "keys/notes.txt").write_text("no audio" * 20)
+    (root / "low").mkdir(parents=True)
+    (root / "high").mkdir()
+    (root / "low/thud.wav").write_bytes(wav(sine(60, 0.5)))
+    (root / "low/copy.WAV").write_bytes(wav(sine(60, 0.5)))
+    (root / "high/pair.wav").write_bytes(wav(np.repeat(sine(440, 1.0, 44100), 2), 44100, 2, "float"))
+    (root / "high/bad.wav").write_bytes(b"x" * 100)
+    (root / "high/notes.txt").write_text("no audio" * 20)
     (root / ".hidden.wav").write_bytes(wav(sine(60, 0.1)))
     store = catalog.Store(spark, f"file://{tmp_path}/store")
     roots, _ = catalog.add_root(store.read("library_roots"), str(root), None, 1)
@@ -59,19 +59,19 @@ def test_scan(library):
     first = ingest.scan_root(store, 1, 10)
     assert {k: first[k] for k in ("seen", "added", "skipped", "failed")} == {"seen": 4, "added": 3, "skipped": 0, "failed": 1}
     rows = {r["rel_path"]: r for r in store.read("samples").collect()}
-    assert set(rows) == {"drums/kick.wav", "drums/copy.WAV", "keys/chord.wav", "keys/bad.wav"}
-    assert rows["drums/kick.wav"]["vector_id"] == rows["drums/copy.WAV"]["vector_id"] is not None
-    assert rows["keys/bad.wav"]["status"] == "decode_failed" and "DecodeError" in rows["keys/bad.wav"]["error"]
-    assert rows["keys/chord.wav"]["status"] == "embedded" and rows["keys/chord.wav"]["duration_ms"] == 1000
+    assert set(rows) == {"low/thud.wav", "low/copy.WAV", "high/pair.wav", "high/bad.wav"}
+    assert rows["low/thud.wav"]["vector_id"] == rows["low/copy.WAV"]["vector_id"] is not None
+    assert rows["high/bad.wav"]["status"] == "decode_failed" and "DecodeError" in rows["high/bad.wav"]["error"]
+    assert rows["high/pair.wav"]["status"] == "embedded" and rows["high/pair.wav"]["duration_ms"] == 1000
     assert store.read("vectors").count() == 2 and store.read("sample_features").count() == 3
     again = ingest.scan_root(store, 1, 20)
     assert again["added"] == 0 and again["skipped"] == 3 and again["failed"] == 1
-    (root / "drums/kick.wav").write_bytes(wav(sine(90, 0.7)))
+    (root / "low/thud.wav").write_bytes(wav(sine(90, 0.7)))
     changed = ingest.scan_root(store, 1, 30)
     assert changed["added"] == 1
     new = {r["rel_path"]: r for r in store.read("samples").collect()}
-    assert new["drums/kick.wav"]["id"] == rows["drums/kick.wav"]["id"]
-    assert new["drums/kick.wav"]["vector_id"] not in (None, rows["drums/kick.wav"]["vector_id"])
+    assert new["low/thud.wav"]["id"] == rows["low/thud.wav"]["id"]
+    assert new["low/thud.wav"]["vector_id"] not in (None, rows["low/thud.wav"]["vector_id"])
     with pytest.raises(schemas.NotFound):
         ingest.scan_root(store, 9, 1)
 
