@@ -277,11 +277,15 @@ def _documents(frame: Frame) -> DataFrame:
     return frame.df.select("*", F.coalesce(doc_id, F.lit(LAST)).alias("place"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def _drops(docs: DataFrame, known: DataFrame) -> DataFrame:
+def _seen(docs: DataFrame) -> DataFrame:
+    """``place, row, pos, k1, k2`` of every line with a word."""
+    each = docs.select("place", "row", F.posexplode(F.split("text", "\n")).alias("pos", "s"))
+    return each.where(_worded(F.col("s"))).select("place", "row", "pos", *_digests(F.col("s")))
+
+
+def _drops(seen: DataFrame, known: DataFrame) -> DataFrame:
     """``place, row, drops, source``: the lines (from 0, ascending) that a text loses, and the
     smallest place that has one of them first."""
-    narrow = docs.select("place", "row", "text").select("place", "row", F.posexplode(F.split("text", "\n")).alias("pos", "s"))
-    seen = narrow.where(_worded(F.col("s"))).select("place", "row", "pos", *_digests(F.col("s")))
     held = seen.join(known, ["k1", "k2"])
     leader = F.min("pos").over(Window.partitionBy("place", "row", "class"))
     return (
@@ -311,25 +315,24 @@ def without(text: Column, drops: Column) -> Column:
     )
 
 
-def _split_by_drops(documents: DataFrame, threshold: int, min_chars: int, hot: int) -> tuple[Frame, DataFrame, DataFrame, DataFrame]:
-    """The frame, its rows that lose lines (with ``drops``), the other rows, and for each
-    text ``place, row`` the links of its lines."""
+def _split_by_drops(documents: DataFrame, threshold: int, min_chars: int, hot: int, count_links: bool) -> tuple[Frame, DataFrame, DataFrame, DataFrame | None]:
+    """The frame, its rows that may lose lines (with ``drops``), the other rows, and if asked
+    for the links ``place, row, links`` of each text's lines."""
     frame = Frame(documents)
     docs = _documents(frame)
     narrow = docs.select("place", "row", "text")
     known, counts = classes(narrow, threshold, min_chars, hot)
-    drops = kept(_drops(narrow, known))
+    seen = kept(_seen(narrow)) if count_links else _seen(narrow)
+    drops = kept(_drops(seen, known))
     key = ["place", "row"]
-    touched = maybe_in(docs, drops, key).join(drops, key, "left")
-    each = narrow.select(*key, F.explode(F.array_distinct(F.split("text", "\n"))).alias("s"))
-    of_text = maybe_in(each.select(*key, F.xxhash64("s").alias("k1")), counts, ["k1"]).distinct().join(counts, "k1").groupBy(*key).agg(F.sum("links").alias("links"))
-    return frame, touched, not_in(docs, drops, key), of_text
+    of_text = maybe_in(seen.select(*key, "k1"), counts, ["k1"]).distinct().join(counts, "k1").groupBy(*key).agg(F.sum("links").alias("links")) if count_links else None
+    return frame, maybe_in(docs, drops, key).join(drops, key, "left"), not_in(docs, drops, key), of_text
 
 
 def deduplicated(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """All columns of ``documents`` with the lines that are left; ``n_chars``, where there is
     such a column, follows the text.  Rows that lose all their lines go."""
-    frame, touched, others, _ = _split_by_drops(documents, threshold, min_chars, hot)
+    frame, touched, others, _ = _split_by_drops(documents, threshold, min_chars, hot, count_links=False)
     name = frame.name("text")
     left = without(F.col("text"), F.col("drops"))
     cut = touched.withColumn(name, F.when(F.col("drops").isNull(), F.col(name)).otherwise(left))
@@ -344,7 +347,7 @@ def report(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     """For each row: ``doc_id``, its lines, the lines it loses, the links of its lines to other
     lines, ``class_id`` (the smallest id that has one of the lost lines first, or its own), and
     a digest of the text that is left."""
-    frame, touched, others, links_of = _split_by_drops(documents, threshold, min_chars, hot)
+    frame, touched, others, links_of = _split_by_drops(documents, threshold, min_chars, hot, count_links=True)
     lines = F.size(F.split("text", "\n")).cast("long")
     left = F.when(F.col("drops").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("drops")))
     one = touched.select(
