@@ -150,7 +150,7 @@ def _measured(rows: DataFrame, threshold: int) -> DataFrame:
     n = threshold + 1
     rows = rows.select("id", "s", "group", F.length("s").alias("len"))
     short = [F.expr(f"cast((len - {d}) div {n} as int)").alias(f"q{d}") for d in range(n)]
-    return rows.where(F.col("len") >= threshold).select("*", *short)
+    return rows.select("*", *short)
 
 
 def _segment(shorter: int, i: int, threshold: int) -> tuple[Column, Column]:
@@ -219,11 +219,12 @@ def candidates(lines: DataFrame, threshold: int, hot: int = HOT, depth: int = DE
         found = calm if found is None else found.unionByName(calm)
 
         def rest(entries: DataFrame, source: DataFrame, crowded: DataFrame = crowded) -> DataFrame:
-            """The lines of crowded keys without the segment they share."""
-            hit = kept(entries.join(crowded, "key", "left_semi"))
+            """The lines of crowded keys without the segment they share; written, so that the
+            plan of a level does not hold those of the levels before it."""
+            hit = staged(entries.join(crowded, "key", "left_semi"), "crowded-entries")
             joined = maybe_in(source, hit, ["id", "group"]).join(hit, ["id", "group"])
             cut = F.concat(F.substring(F.col("s"), F.lit(1), F.col("start") - 1), F.substring(F.col("s"), F.col("start") + F.col("n"), F.length("s")))
-            return kept(joined.select("id", cut.alias("s"), F.col("key").alias("group")).distinct())
+            return staged(joined.select("id", cut.alias("s"), F.col("key").alias("group")).distinct(), "crowded-rests")
 
         as_index, as_probe = rest(index, as_index), rest(probe, as_probe)
     return found

@@ -139,6 +139,16 @@ def test_links(spark, threshold, hot):
     assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if edits(lines[i], lines[j]) <= threshold}
 
 
+def test_links_of_what_is_left_of_crowded_lines(spark):
+    # Segments shared by all lines are cut out until next to nothing is left.
+    lines = ["a" * 20, "a" * 21, "a" * 22, *("a" * k + "b" + "a" * (19 - k) for k in range(20))]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, s string")
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if edits(lines[i], lines[j]) <= 1}
+    for depth in (1, 4):
+        got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in line_dedup.links(df, 1, 2, depth).collect()}
+        assert got == want
+
+
 def test_line_dedup(docs, empty):
     texts = unique(docs)
     lines = {i: (t or "").split("\n") for i, t in texts.items()}
