@@ -17,7 +17,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return f"{float(v):.6g}" if isinstance(v, float) else str(list(v)) if hasattr(v, "__len__") and not isinstance(v, (str, bytes)) else str(v)
 
