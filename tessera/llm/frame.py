@@ -63,6 +63,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def thinned(df: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
+    """About four times ``wanted`` rows of ``total`` by least hash of their key, so that taking
+    the ``wanted`` first of them moves few rows from each partition."""
+    share = 4 * wanted / max(total, 1)
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch may hold, in rows and in bytes, so long texts stay cheap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

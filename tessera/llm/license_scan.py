@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import Frame, map_batches
+from tessera.llm.frame import Frame, map_batches, thinned
 from tessera.llm.license_texts import TEMPLATES
 
 UNKNOWN = "unknown"
@@ -179,8 +179,9 @@ def sample_lines(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
     frame = Frame(documents)
     text = frame.col("text")
     rows = (
-        frame.df.where(frame.col("doc_id").isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-        .select(F.xxhash64(frame.col("doc_id")).alias("h"), text.alias("text"))
+        thinned(frame.df, frame.col("doc_id"), sample, documents.count())
+        .where(frame.col("doc_id").isNotNull() & (F.length(text) <= SAMPLE_CHARS))
+        .select(F.pmod(F.xxhash64(frame.col("doc_id")), F.lit(1 << 40)).alias("h"), text.alias("text"))
         .orderBy("h", "text")
         .limit(sample)
         .collect()
