@@ -204,12 +204,31 @@ class Trained:
     counts: DataFrame
 
 
+def most_frequent(counts: DataFrame, known: int) -> dict[bytes, int]:
+    """The most frequent words with their counts, most frequent first, at most ``known``.
+
+    Words are counted by steps of their logarithm (some thousand); the lowest step that still
+    fits gives the bound, so no more rows than asked for reach the driver.
+    """
+    step = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    short = counts.where(F.length("word") <= LONGEST).withColumn("step", step)
+    bound, total = None, 0
+    for row in short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        total += row["n"]
+        if total > known:
+            break
+        bound = row["step"]
+    if bound is None:
+        return {}
+    rows = short.where(F.col("step") >= bound).select("word", "c").collect()
+    return {bytes(w): c for w, c in sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], bytes(x[0])))}
+
+
 def train(texts: DataFrame, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES, known: int = KNOWN, rounds: int = ROUNDS) -> Trained:
     """A model of a table with one binary column ``text``."""
     counts = kept(map_batches(texts, _count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(known).collect()
-    frequent = {bytes(r["word"]): r["c"] for r in top}
+    frequent = most_frequent(counts, known)
     units = list(dict.fromkeys([END, *list(frequent)[:head]]))
     frame = Units(units, tails)
     u = frame.size
@@ -225,7 +244,7 @@ def train(texts: DataFrame, head: int = HEAD, tails: int = TAILS, classes: int =
     cls = exchange(bigrams, classes, fixed=0, rounds=rounds)
     # Known words of each unit: one for a frequent word, the rest of its bucket for a tail.
     spread = {r["t"]: r["n"] for r in counts.where(F.length("word") > 0).groupBy(tail_column(F.col("word"), tails).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    types = np.array([1.0 if w in frequent else 0.0 for w in units] + [float(spread.get(t, 0)) for t in range(tails)])
+    types = np.array([1.0 if w in frequent or w == END else 0.0 for w in units] + [float(spread.get(t, 0)) for t in range(tails)])
     for w in units:
         if w != END and w in frequent:
             types[len(units) + tail_of(w, tails)] -= 1
