@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import Frame, map_batches
+from tessera.llm.frame import Frame, map_batches, thinned
 from tessera.plans.scratch import few, kept, staged
 
 K = 5
@@ -208,7 +208,8 @@ def searched(table: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOT
     """``query_id, rank, vec_id, score`` for every row of ``vectors`` that ``is_query`` (over
     ``vec_id``) picks, against all rows."""
     rows = kept(vectors(table).withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "rid").limit(pivots).select("v").collect()
+    few_rows = thinned(rows, F.col("vec_id"), pivots, rows.count())
+    sample = few_rows.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)), "rid").limit(pivots).select("v").collect()
     fitted = Pivots([r["v"] for r in sample])
     placed = kept(map_batches(rows, _assign(fitted), "rid long, vec_id long, v array<double>, cell int, far double", 5_000).withColumn("n", F.size("v")))
     cells: dict[int, list[tuple[int, float]]] = {}
