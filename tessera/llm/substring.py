@@ -201,8 +201,10 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
         map_batches(docs, _scan(window, phrase), "doc_id long, row long, n_words long, sha string, d1 long, d2 long, anchors array<long>", 500)
     )
     named = scanned.where("doc_id is not null")
-    low = named.where(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.min("doc_id").alias("low"))
-    copies = named.select("doc_id", "row", "d1", "d2").distinct().join(low, ["d1", "d2"]).where("doc_id > low").select("doc_id", "row").withColumn("copy", F.lit(True))
+    ends = named.where(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # Written, so that both sides of the join are dealt out anew and a large group can be split.
+    low = staged(few(ends.where("low < high").drop("high")), "copied")
+    copies = named.select("doc_id", "row", "d1", "d2").join(low, ["d1", "d2"]).where("doc_id > low").select("doc_id", "row").distinct().withColumn("copy", F.lit(True))
 
     pairs = named.select("doc_id", "row", "d1", F.explode("anchors").alias("anchor"))
     recurring = pairs.groupBy("anchor").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("anchor")
