@@ -49,10 +49,39 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: The first code point without a character; only texts beyond it are searched for others.
+FIRST_UNKNOWN = "\u0378"
+_UNKNOWN: list[regex.Pattern] = []
+
+
+def unknown() -> regex.Pattern:
+    """Matches code points to which this Python's Unicode version gives no character."""
+    if not _UNKNOWN:
+        ends, held = [], None
+        for code in range(0x378, 0x110001):
+            free = code < 0x110000 and unicodedata.category(chr(code)) == "Cn"
+            if free and held is None:
+                held = code
+            elif not free and held is not None:
+                ends.append(f"\\U{held:08x}-\\U{code - 1:08x}")
+                held = None
+        _UNKNOWN.append(regex.compile(f"[{''.join(ends)}]", regex.V0))
+    return _UNKNOWN[0]
+
+
 class Merges:
     """A BPE model: ``rank`` has the place of a pair ``left << 32 | right`` and ``made`` its token."""
 
+    def library(self):
+        """The library's own reader of this file, for its splitting only."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def __init__(self, path: str) -> None:
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
@@ -185,23 +214,37 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """The ids of a word as little-endian 32-bit integers."""
         data = word.encode("utf-8", "surrogatepass")
+        packed = self.tokens(data)
         if len(data) <= CACHED_LENGTH:
-            symbols = [self.m.inner[b] for b in data]
-            symbols[-1] = self.m.last[data[-1]]
-            packed = array("I", merge_word(symbols, self.m.rank, self.m.made)).tobytes()
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = packed
-            return packed
+        return packed
+
+    def tokens(self, data: bytes) -> bytes:
+        if len(data) <= CACHED_LENGTH:
+            symbols = [self.m.inner[b] for b in data]
+            symbols[-1] = self.m.last[data[-1]]
+            return array("I", merge_word(symbols, self.m.rank, self.m.made)).tobytes()
         run = WordTransducer(self.m)
         return array("I", [*run.feed(data), *run.finish()]).tobytes()
 
+    def split_by_library(self, text: str) -> list[bytes]:
+        """Words of a text with characters that this Python does not know yet: their case and
+        class are the library's matter."""
+        library = self.m.library()
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+        return [bytes(byte_of[c] for c in piece) for piece, _ in pieces]
+
     def encode(self, text: str) -> bytes:
         pieces = self.cut.split(text) if self.cut and any(s in text for s in self.m.special) else [text]
         out, get, find = [], self.known.get, self.m.pattern.findall
         for piece in pieces:
             if piece in self.m.special:
                 out.append(array("I", [self.m.special[piece]]).tobytes())
+            elif not piece.isascii() and max(piece) >= FIRST_UNKNOWN and unknown().search(piece):
+                out += map(self.tokens, self.split_by_library(piece))
             else:
                 out += [get(w) or self.word(w) for w in find(self.normal(piece))]
         return b"".join(out)

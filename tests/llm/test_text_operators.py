@@ -320,6 +320,8 @@ def test_bpe_transducer(tokenizer):
         assert decoder.names(ids) == library.decode(ids, skip_special_tokens=False)
 
     same()
+    for code in (0x558, 0x208F, 0xA7CE, 0x16EA0, 0x3D000, 0x11DE0, 0x1C89, 0xA7CB, 0x10D50, 0xE0FFF, 0x10FFFF):
+        same.hypothesis.inner_test(["the", chr(code), "Ab", chr(code), " ", chr(code)])
     rng = np.random.default_rng(0)
     for alphabet in ("abcdefghijklmnopqrstuvwxyz", "the", "ain"):
         word = "".join(rng.choice(list(alphabet), 20_000))
