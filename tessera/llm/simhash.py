@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import Frame, map_batches
+from tessera.llm.frame import Frame, map_batches, thinned
 from tessera.operators.components import connected_components
-from tessera.plans.prune import maybe_in
+from tessera.plans.prune import maybe_in, not_in
 from tessera.plans.scratch import few, kept, staged
 
 BITS = 64
@@ -298,50 +298,176 @@ def similarity(a: bytes, b: bytes, width: int) -> float:
     return len(one & two) / len(one | two)
 
 
-def _confirm(width: int, least: float):
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; a text of fewer words is one."""
+    found = text.lower().split()
+    n = max(len(found) - width + 1, 1)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    if n == 1:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n], ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def _sampled(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = [similarity(a.as_py(), b.as_py(), width) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            keep = pa.array(np.flatnonzero(fine))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["src", "dst"])
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), width).view(np.int64))], ["h"])
 
     return work
 
 
-def similar_links(rows: DataFrame, found: DataFrame, radius: int, wide: int, width: int, least: float) -> DataFrame:
-    """Links between fingerprints: all within ``radius`` bits (as a forest), and of those within
-    ``wide`` bits the ones whose texts have shingles of ``width`` words in common to ``least``.
+def common_shingles(rows: DataFrame, width: int, sample: int, most: int) -> np.ndarray:
+    """Hashes of shingles that a sample of the texts has several times, most frequent last."""
+    some = thinned(rows, F.col("rid"), sample, rows.count()).select("text")
+    counts = map_batches(some, _sampled(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
 
-    ``rows`` are ``rid, text``, ``found`` their fingerprints.  The wide candidates are a minimum
-    spanning forest as well, so a large group of near copies gives as many as it has texts.
-    """
-    first = found.groupBy("fp").agg(F.min("rid").alias("rid"))
-    edges = kept(links(first.select("fp"), wide).distinct())
-    apart = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
-    far = edges.where(apart > radius)
-    ends = far.select(F.col("src").alias("fp")).unionByName(far.select(F.col("dst").alias("fp"))).distinct().join(first, "fp")
-    texts = kept(maybe_in(rows, ends, ["rid"]).join(ends, "rid").select("fp", F.coalesce("text", F.lit("")).cast("binary").alias("text")))
-    both = far.join(texts.select(F.col("fp").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("fp").alias("dst"), F.col("text").alias("b")), "dst")
-    confirmed = map_batches(both.select("src", "dst", "a", "b"), _confirm(width, least), "src long, dst long", 500)
-    return edges.where(apart <= radius).unionByName(confirmed)
 
+def _prefixes(width: int, least: float, common: np.ndarray):
+    """``rid, n, h, at`` of the first shingles of each text in the common order: hashes ascending,
+    then what is frequent.  Two texts with a similarity of ``least`` have one of them in common."""
+    order = np.argsort(common)
+    known = common[order]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = [], []
+            for text in batch.column(1):
+                h = shingle_hashes(text.as_py(), width)
+                size.append(len(h))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, order[at] + 1, 0), kind="stable")]
+                found.append(h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1])
+            if found:
+                taken = np.array(list(map(len, found)))
+                rid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), taken)
+                at = np.concatenate([np.arange(k) for k in taken])
+                h = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.repeat(size, taken).astype(np.int32)), pa.array(h), pa.array(at.astype(np.int32))], ["rid", "n", "h", "at"])
+
+    return work
+
+
+def _crossing(least: float, held: int = 1 << 18, made: int = 1 << 20):
+    """``h, label, rid, n, at`` in order of ``h, label`` -> pairs of texts with one ``h`` and
+    different labels whose sizes and places leave room for the similarity."""
+
+    def pairs(h: np.ndarray, label: np.ndarray, rid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.flatnonzero((h[1:] != h[:-1]) | (label[1:] != label[:-1])) + 1
+        run = np.flatnonzero(h[1:] != h[:-1]) + 1
+        every = np.arange(len(h))
+        first = np.append(new, len(h))[np.searchsorted(new, every, "right")]
+        last = np.append(run, len(h))[np.searchsorted(run, every, "right")]
+        more = np.cumsum(last - first)
+        start = 0
+        while start < len(h):
+            done = more[start - 1] if start else 0
+            end = max(int(np.searchsorted(more, done + made, "right")), start + 1)
+            count = (last - first)[start:end]
+            a = np.repeat(every[start:end], count)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[start:end], count)
+            need = np.ceil(least / (1 + least) * (n[a] + n[b]) - 1e-9)
+            keep = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9) & (np.minimum(n[a] - at[a], n[b] - at[b]) >= need)
+            x, y = rid[a[keep]], rid[b[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            start = end
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < held:
+                continue
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last run may go on
+            if cut:
+                yield from pairs(*(c[:cut] for c in columns))
+            parts, rows = [[c[cut:] for c in columns]], 0
+        if parts:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            if len(columns[0]):
+                yield from pairs(*columns)
 
-#: Near duplicates in general: candidates within so many bits whose five-word shingles agree.
-WIDE, WORDS, SIMILAR = 8, 5, 0.8
+    return work
 
 
-def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = WIDE, width: int = WORDS, least: float = SIMILAR) -> DataFrame:
+def _confirm(width: int, least: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [similarity(a.as_py(), b.as_py(), width) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = pa.array(np.flatnonzero(fine))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+    return work
+
+
+def similar_links(rows: DataFrame, found: DataFrame, radius: int, width: int, least: float) -> DataFrame:
+    """Links between fingerprints: all within ``radius`` bits (as a forest), and those that the
+    similarity of two texts with shingles of ``width`` words, ``least`` or more, asks for.
+
+    ``rows`` are ``rid, text``, ``found`` their fingerprints.  Candidates are texts with one of
+    their first shingles in common, so none is missed, however many bits they are apart.
+    Neighbours of each shingle are confirmed first, which makes one group of most copies; then
+    every candidate pair whose ends are still in different groups.
+    """
+    near = kept(links(found.select("fp").distinct(), radius).distinct())
+    texts = rows.select("rid", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    copies = texts.select("rid", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    lowest = copies.groupBy("k1", "k2").agg(F.min("rid").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    extra = kept(copies.join(lowest, ["k1", "k2"]).where("rid > low").select("rid"))
+    single = not_in(texts, extra, ["rid"]).unionByName(maybe_in(texts, extra, ["rid"]).join(extra, "rid", "left_anti"))
+    common = common_shingles(texts, width, SAMPLE, COMMON)
+    index = map_batches(single, _prefixes(width, least, common), "rid long, n int, h long, at int")
+    order = Window.partitionBy("h").orderBy("n", "rid")
+    beside = index.select("*", F.lag("rid").over(order).alias("before"), F.lag("n").over(order).alias("less"), F.lead("rid").over(order).alias("after"))
+    shared = kept(beside.where("before is not null or after is not null").drop("after"))
+    fps = found.select("rid", "fp")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ends = kept(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
+        wanted = kept(maybe_in(texts, ends, ["rid"]).join(ends, "rid"))
+        both = pairs.join(wanted.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(wanted.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
+        fine = map_batches(both.select("a", "b", "x", "y"), _confirm(width, least), "a long, b long", 500)
+        named = fine.join(fps.select(F.col("rid").alias("a"), F.col("fp").alias("src")), "a").join(fps.select(F.col("rid").alias("b"), F.col("fp").alias("dst")), "b")
+        return kept(named.where("src <> dst").select("src", "dst").distinct())
+
+    beside_each_other = shared.where(F.col("less") >= F.lit(least) * F.col("n") - 1e-9).select(F.least("before", "rid").alias("a"), F.greatest("before", "rid").alias("b"))
+    first = near.unionByName(confirmed(kept(beside_each_other.distinct())))
+    label = connected_components(first).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    group = fps.join(label, "fp", "left").select("rid", F.coalesce("label", "fp").alias("label"))
+    marked = kept(shared.join(group, "rid").select("h", "label", "rid", "n", "at"))
+    mixed = marked.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
+    runs = marked.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "label")
+    rest = kept(map_batches(runs, _crossing(least), "a long, b long", 10_000).distinct())
+    return first.unionByName(confirmed(rest))
+
+
+#: Near duplicates in general: texts whose five-word shingles agree.
+WORDS, SIMILAR = 5, 0.8
+#: Texts looked at for frequent shingles (up to four times as many), and how many are remembered.
+SAMPLE, COMMON = 2500, 1 << 16
+
+
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WORDS, least: float = SIMILAR) -> DataFrame:
     """One row of each group of near duplicates with all its columns: the one with the smallest
     id (null comes last), of rows with that id the first.
 
-    Two texts are near duplicates within ``radius`` bits, or within ``wide`` bits if their
-    shingles of ``width`` words have a similarity of ``least`` or more.
+    Two texts are near duplicates within ``radius`` bits, or if their shingles of ``width``
+    words have a similarity of ``least`` or more.
     """
     frame = Frame(documents)
     table = kept(frame.df.withColumn("rid", F.monotonically_increasing_id()))
     rows = table.select("rid", frame.col("doc_id").alias("doc_id"), frame.col("text").alias("text"))
     found = kept(fingerprints(rows, shingle, numbered=True))
-    marked = grouped(found, radius, edges=similar_links(rows.select("rid", "text"), found, radius, wide, width, least))
+    marked = grouped(found, radius, edges=similar_links(rows.select("rid", "text"), found, radius, width, least))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     stay = marked.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.rid").alias("rid"))
     return frame.restore(table.join(stay, "rid", "left_semi"))

@@ -498,6 +498,19 @@ def test_similar_texts_are_one_group(spark):
     assert len(left & set(near)) <= 0.15 * len(near)
 
 
+def test_similar_texts_many_bits_apart_are_one_group(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(120):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-3], "changed", "at", "end"]))]
+    apart = [(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    assert max(apart) > 12
+    rows += [(1000, "four words of text"), (1001, "four words  of text"), (1002, "four words of it"), (1003, None), (1004, rows[0][1])]
+    left = {r[0] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {*range(0, 240, 2), 1000, 1002, 1003}
+
+
 def test_gray_index():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
