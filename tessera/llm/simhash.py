@@ -324,8 +324,8 @@ def common_shingles(rows: DataFrame, width: int, sample: int, most: int) -> np.n
     """Hashes of shingles that a sample of the texts has several times, most frequent last."""
     some = thinned(rows, F.col("rid"), sample, rows.count()).select("text")
     counts = map_batches(some, _sampled(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    return found.column("h").to_numpy()[::-1].copy().view(np.uint64)
 
 
 def _prefixes(width: int, least: float, common: np.ndarray):
@@ -418,35 +418,35 @@ def similar_links(rows: DataFrame, found: DataFrame, radius: int, width: int, le
     Neighbours of each shingle are confirmed first, which makes one group of most copies; then
     every candidate pair whose ends are still in different groups.
     """
-    near = kept(links(found.select("fp").distinct(), radius).distinct())
+    near = staged(few(links(found.select("fp").distinct(), radius).distinct()), "near")
     texts = rows.select("rid", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     copies = texts.select("rid", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     lowest = copies.groupBy("k1", "k2").agg(F.min("rid").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    extra = kept(copies.join(lowest, ["k1", "k2"]).where("rid > low").select("rid"))
+    extra = staged(few(copies.join(lowest, ["k1", "k2"]).where("rid > low").select("rid").distinct()), "copies")
     single = not_in(texts, extra, ["rid"]).unionByName(maybe_in(texts, extra, ["rid"]).join(extra, "rid", "left_anti"))
     common = common_shingles(texts, width, SAMPLE, COMMON)
     index = map_batches(single, _prefixes(width, least, common), "rid long, n int, h long, at int")
     order = Window.partitionBy("h").orderBy("n", "rid")
     beside = index.select("*", F.lag("rid").over(order).alias("before"), F.lag("n").over(order).alias("less"), F.lead("rid").over(order).alias("after"))
-    shared = kept(beside.where("before is not null or after is not null").drop("after"))
+    shared = staged(beside.where("before is not null or after is not null").drop("after"), "shared-shingles")
     fps = found.select("rid", "fp")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = kept(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
+        ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
         wanted = kept(maybe_in(texts, ends, ["rid"]).join(ends, "rid"))
         both = pairs.join(wanted.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(wanted.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
         fine = map_batches(both.select("a", "b", "x", "y"), _confirm(width, least), "a long, b long", 500)
         named = fine.join(fps.select(F.col("rid").alias("a"), F.col("fp").alias("src")), "a").join(fps.select(F.col("rid").alias("b"), F.col("fp").alias("dst")), "b")
-        return kept(named.where("src <> dst").select("src", "dst").distinct())
+        return staged(few(named.where("src <> dst").select("src", "dst").distinct()), "confirmed")
 
     beside_each_other = shared.where(F.col("less") >= F.lit(least) * F.col("n") - 1e-9).select(F.least("before", "rid").alias("a"), F.greatest("before", "rid").alias("b"))
-    first = near.unionByName(confirmed(kept(beside_each_other.distinct())))
+    first = near.unionByName(confirmed(staged(few(beside_each_other.distinct()), "neighbours")))
     label = connected_components(first).select(F.col("node").alias("fp"), F.col("component").alias("label"))
     group = fps.join(label, "fp", "left").select("rid", F.coalesce("label", "fp").alias("label"))
-    marked = kept(shared.join(group, "rid").select("h", "label", "rid", "n", "at"))
+    marked = staged(shared.join(group, "rid").select("h", "label", "rid", "n", "at"), "marked")
     mixed = marked.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
     runs = marked.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "label")
-    rest = kept(map_batches(runs, _crossing(least), "a long, b long", 10_000).distinct())
+    rest = staged(few(map_batches(runs, _crossing(least), "a long, b long", 10_000).distinct()), "crossing")
     return first.unionByName(confirmed(rest))
 
 
