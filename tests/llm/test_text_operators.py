@@ -511,6 +511,16 @@ def test_similar_texts_many_bits_apart_are_one_group(spark):
     assert left == {*range(0, 240, 2), 1000, 1002, 1003}
 
 
+def test_similar_texts_around_a_third_are_one_group(spark, monkeypatch):
+    """The third text's fingerprint is nearer to both than they are to each other."""
+    base = [f"w{x}" for x in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "changed"])), (3, "something else that is not at all like them")]
+    codes = F.when(F.col("doc_id") == 1, 0).when(F.col("doc_id") == 2, 63).otherwise(7).cast("long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda table, *_, **__: table.select("rid", "doc_id", codes.alias("fp")))
+    left = {r[0] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1, 3}
+
+
 def test_gray_index():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
