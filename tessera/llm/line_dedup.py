@@ -1,17 +1,24 @@
 """Line dedup by a segment-partition edit join (Pass-Join, Li et al. 2011).
 
 A line stays where it occurs first.  Lines are the same if they are equal or linked by edit
-distance: two lines of at least ``min_chars`` characters are linked at ``threshold`` edits or
-fewer, and links join up to classes.
+distance: two lines of at least 2 (``threshold`` + 1) characters, the least that can be split,
+are linked at ``threshold`` edits or fewer, and links join up to classes.
 
 Equal lines become one row first.  Each distinct line is split into ``threshold`` + 1
 segments, which are indexed by (length of the line, number of the segment, segment); each line
 probes the indexes of all lengths it can be linked to with the few substrings that can match
 by position.  One segment of a pair is untouched by ``threshold`` edits, so no link is lost.
-Where more than ``hot`` lines share a segment, that segment is cut out of them and the rest is
-split and probed again within the group: the same two bounds hold for what is left, so large
-groups fall apart by their own differences.  Candidates lose their common ends and are
-verified by bit-parallel edit distance in the band of ``threshold`` diagonals.
+Candidates lose their common ends and are verified by bit-parallel edit distance in the band
+of ``threshold`` diagonals.
+
+Where more than ``hot`` lines share a segment no pairs are listed.  The segment is cut out of
+them and the rest is split and probed again within the group: the same two bounds hold for what
+is left, so large groups fall apart by their own differences.  At one edit this goes on until
+at most ``SHORT`` characters are left; lines that then agree in all but one place are one row
+each of a group whose members are all linked, and a line and the line with one character more
+meet under what is left without that character.  Every substitution is found in one group or
+one pair only, so links are counted by group sizes.  At more than one edit groups are split
+``depth`` times and what is still crowded then is listed as pairs.
 
 Everything is DataFrame functions.  Shuffles carry digests and places, texts only where lines
 are made distinct, where candidates are verified and where texts lose lines.
@@ -33,11 +40,12 @@ from tessera.plans.prune import maybe_in, not_in
 from tessera.plans.scratch import few, kept, new_path, staged
 
 THRESHOLD = 1
-MIN_CHARS = 20
 #: Lines of one segment from which on its group is split again.
-HOT = 1000
-#: Times a group is split at most; what is left is joined as it is.
+HOT = 32
+#: Times a group is split at most if there is more than one edit.
 DEPTH = 4
+#: At one edit, characters of a line whose variants are listed instead of its segments.
+SHORT = 16
 LAST = (1 << 63) - 1
 
 
@@ -183,12 +191,14 @@ def indexed(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def probing(rows: DataFrame, threshold: int) -> DataFrame:
-    """The substrings that have to be looked up, by the multi-match-aware rule."""
+    """The substrings that have to be looked up, by the multi-match-aware rule, but for the
+    segments themselves, which are in the index."""
     places = [
         (shorter, i, off)
         for shorter in range(threshold + 1)
         for i in range(threshold + 1)
         for off in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1)
+        if shorter or off
     ]
     return _entries(rows, threshold, places)
 
@@ -196,38 +206,71 @@ def probing(rows: DataFrame, threshold: int) -> DataFrame:
 def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
     """Pairs of lines that meet under a key; of two lines of one length only one order."""
     a = index.select("key", F.col("id").alias("a"), F.col("len").alias("la"))
+    same = a.join(index.select("key", F.col("id").alias("b")), "key").where("b > a").select("a", "b")
     b = probe.select("key", F.col("id").alias("b"), F.col("len").alias("lb"))
-    return a.join(b, "key").where((F.col("lb") > F.col("la")) | (F.col("b") > F.col("a"))).select("a", "b")
+    other = a.join(b, "key").where((F.col("lb") > F.col("la")) | (F.col("b") > F.col("a"))).select("a", "b")
+    return same.unionByName(other)
 
 
-def candidates(lines: DataFrame, threshold: int, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
-    """Pairs ``a, b`` of ids of ``id, s`` that may be linked; pairs may repeat."""
+def _without(s: Column, at: Column) -> Column:
+    """A text without its character at ``at`` (from 1)."""
+    return F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + 1, F.length(s)))
+
+
+def _variants(lines: DataFrame, longer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One edit between short rests ``id, s, group``: groups ``g, id`` of two or more lines that
+    agree in all but one place, and pairs ``a, b`` of ``lines`` and ``longer``."""
+    at = F.explode(F.sequence(F.lit(1), F.length("s"))).alias("at")
+    masked = lines.select("id", "group", "s", at).select(F.xxhash64("group", "at", _without(F.col("s"), F.col("at")), F.length("s")).alias("g"), "id")
+    shared = masked.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
+    groups = masked.join(shared, "g", "left_semi")
+    less = longer.select("id", "group", "s", at).select(F.xxhash64("group", _without(F.col("s"), F.col("at"))).alias("key"), F.col("id").alias("b")).distinct()
+    pairs = lines.select(F.xxhash64("group", "s").alias("key"), F.col("id").alias("a")).join(less, "key").select("a", "b")
+    return groups, pairs
+
+
+def _plus(one: DataFrame | None, other: DataFrame) -> DataFrame:
+    return other if one is None else one.unionByName(other)
+
+
+def candidates(lines: DataFrame, threshold: int, hot: int = HOT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a, b`` of ids of ``id, s`` that may be linked; pairs may repeat.  Of one edit also
+    ``g, id``: groups in which every two lines differ in one place, none of them in the pairs."""
     level = lines.select("id", "s", F.lit(0).cast("long").alias("group"))
     as_index, as_probe = level, level
-    found: DataFrame | None = None
-    for step in range(depth + 1):
+    pairs, lines_left, longer_left = None, None, None
+    step = 0
+    while True:
+        if threshold == 1:
+            # A longer line belongs to the lengths of its partners, one less.
+            lines_left = _plus(lines_left, as_index.where(F.length("s") <= SHORT))
+            longer_left = _plus(longer_left, as_probe.where(F.length("s") <= SHORT + 1))
+            as_index, as_probe = as_index.where(F.length("s") > SHORT), as_probe.where(F.length("s") > SHORT + 1)
         index, probe = indexed(as_index, threshold), probing(as_probe, threshold)
         crowded = None
-        if step < depth:
+        if threshold == 1 or step < depth:
             crowded = staged(few(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")), "crowded")
             if crowded.isEmpty():
                 crowded = None
         if crowded is None:
-            met = _met(index, probe)
-            return met if found is None else found.unionByName(met)
-        calm = _met(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti"))
-        found = calm if found is None else found.unionByName(calm)
+            pairs = _plus(pairs, _met(index, probe))
+            break
+        pairs = _plus(pairs, _met(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti")))
 
         def rest(entries: DataFrame, source: DataFrame, crowded: DataFrame = crowded) -> DataFrame:
             """The lines of crowded keys without the segment they share; written, so that the
             plan of a level does not hold those of the levels before it."""
-            hit = staged(entries.join(crowded, "key", "left_semi"), "crowded-entries")
+            hit = staged(few(entries.join(crowded, "key", "left_semi")), "crowded-entries")
             joined = maybe_in(source, hit, ["id", "group"]).join(hit, ["id", "group"])
             cut = F.concat(F.substring(F.col("s"), F.lit(1), F.col("start") - 1), F.substring(F.col("s"), F.col("start") + F.col("n"), F.length("s")))
-            return staged(joined.select("id", cut.alias("s"), F.col("key").alias("group")).distinct(), "crowded-rests")
+            return staged(few(joined.select("id", cut.alias("s"), F.col("key").alias("group")).distinct()), "crowded-rests")
 
-        as_index, as_probe = rest(index, as_index), rest(probe, as_probe)
-    return found
+        as_index, as_probe = rest(index, as_index), rest(probe if threshold == 1 else probe.unionByName(index), as_probe)
+        step += 1
+    if threshold > 1:
+        return pairs, None
+    groups, more = _variants(lines_left, longer_left)
+    return pairs.unionByName(more), groups
 
 
 # -- lines and classes --------------------------------------------------------------------------
@@ -241,19 +284,59 @@ def _worded(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITE)) != ""
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
-    """Distinct linked pairs ``a, b`` (ids) of distinct lines ``id, s``."""
-    pairs = kept(candidates(lines, threshold, hot, depth).distinct())
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = kept(maybe_in(lines, ids, ["id"]).join(ids, "id"))
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return with_both.where(distance(F.col("sa"), F.col("sb"), threshold) <= threshold).select("a", "b")
-
-
-def classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def _spread(df: DataFrame) -> DataFrame:
+    """A table that is small against what it was made from, dealt out anew: what made it keeps
+    all its tasks."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def links(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct linked pairs ``a1, a2, b1, b2`` of distinct lines ``k1, k2, s`` and, of one edit,
+    the members ``g, k1, k2`` of groups in which every two lines are linked, with ``r1, r2``, the
+    member that stands for the group.  A link is in one pair or in one group."""
+    pairs, groups = candidates(lines.select(F.col("k1").alias("id"), "s"), threshold, hot, depth)
+    pairs = kept(pairs.distinct())
+    ids = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1")))
+    if groups is not None:
+        groups = staged(_spread(groups), "line-groups")
+        ids = ids.unionByName(groups.select(F.col("id").alias("k1")))
+    ids = ids.distinct()
+    texts = kept(maybe_in(lines.select("k1", "k2", "s"), ids, ["k1"]).join(ids, "k1"))
+
+    def named(k1: str, k2: str, s: str) -> DataFrame:
+        return texts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("s").alias(s))
+
+    both = pairs.join(named("a", "a2", "sa"), "a").join(named("b", "b2", "sb"), "b")
+    near = both.where(distance(F.col("sa"), F.col("sb"), threshold) <= threshold).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    if groups is None:
+        return staged(_spread(near), "links"), None
+    # One member stands for a group; who is not linked to it (by a collision of keys) is no member.
+    first = groups.groupBy("g").agg(F.min("id").alias("r1")).join(named("r1", "r2", "sr"), "r1")
+    members = groups.withColumnRenamed("id", "k1").join(texts, "k1").join(first, "g").where(distance(F.col("s"), F.col("sr"), 1) <= 1)
+    return staged(_spread(near), "links"), staged(_spread(members.select("g", "k1", "k2", "r1", "r2")), "line-members")
+
+
+def _node(k1: str, k2: str) -> Column:
+    return F.concat_ws(":", k1, k2)
+
+
+def joined_up(near: DataFrame, members: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """From pairs and groups: ``k1, k2, class`` of every linked line and its links ``k1, k2, links``."""
+    ends = near.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(1).alias("n")).unionByName(near.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(1).alias("n")))
+    edges = near.select(_node("a1", "a2").alias("src"), _node("b1", "b2").alias("dst"))
+    if members is not None:
+        size = members.groupBy("g").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+        ends = ends.unionByName(members.join(size, "g").select("k1", "k2", F.col("n").cast("int").alias("n")))
+        edges = edges.unionByName(members.select(_node("k1", "k2").alias("src"), _node("r1", "r2").alias("dst")))
+    counts = ends.groupBy("k1", "k2").agg(F.sum("n").alias("links"))
+    node = F.split("node", ":")
+    found = connected_components(edges).select(node[0].cast("long").alias("k1"), node[1].cast("long").alias("k2"), F.col("component").alias("class"))
+    return found, counts
+
+
+def classes(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``k1, k2, class, first`` of the lines that occur in several places or have links, and
-    the number of links ``k1, links`` of the lines that have any."""
+    the number of links ``k1, k2, links`` of the lines that have any."""
     each = docs.select("place", F.explode(F.split("text", "\n")).alias("s")).where(_worded(F.col("s")))
     distinct = each.groupBy("s").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     spark = docs.sparkSession
@@ -261,14 +344,13 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CH
     path = new_path(spark, "lines")
     distinct.select(*_digests(F.col("s")), "s", "first", "n").coalesce(max(6, parts // 3)).write.parquet(path)
     lines = spark.read.schema("k1 long, k2 long, s string, first long, n long").parquet(path)
-    fuzzy = lines.where(F.length("s") >= max(min_chars, 2 * (threshold + 1))).select(F.col("k1").alias("id"), "s")
-    near = staged(few(links(fuzzy, threshold, hot)), "links")
-    counts = near.select(F.col("a").alias("k1")).unionByName(near.select(F.col("b").alias("k1"))).groupBy("k1").agg(F.count(F.lit(1)).alias("links"))
-    joined = connected_components(near, "a", "b")
-    linked = lines.select("k1", "k2", "first").join(joined.withColumnRenamed("node", "k1"), "k1")
-    low = linked.groupBy("component").agg(F.min("first").alias("low"))
-    of_links = linked.join(low, "component").select("k1", "k2", F.col("component").alias("class"), F.col("low").alias("first"))
-    of_copies = lines.where("n > 1").select("k1", "k2", F.col("k1").alias("class"), "first").join(joined.select(F.col("node").alias("k1")), "k1", "left_anti")
+    near, members = links(lines.where(F.length("s") >= 2 * (threshold + 1)), threshold, hot)
+    joined, counts = joined_up(near, members)
+    key = ["k1", "k2"]
+    linked = lines.select(*key, "first").join(joined, key)
+    low = linked.groupBy("class").agg(F.min("first").alias("low"))
+    of_links = linked.join(low, "class").select(*key, "class", F.col("low").alias("first"))
+    of_copies = lines.where("n > 1").select(*key, _node("k1", "k2").alias("class"), "first").join(joined.select(*key), key, "left_anti")
     return kept(of_links.unionByName(of_copies)), counts
 
 
@@ -316,24 +398,24 @@ def without(text: Column, drops: Column) -> Column:
     )
 
 
-def _split_by_drops(documents: DataFrame, threshold: int, min_chars: int, hot: int, count_links: bool) -> tuple[Frame, DataFrame, DataFrame, DataFrame | None]:
+def _split_by_drops(documents: DataFrame, threshold: int, hot: int, count_links: bool) -> tuple[Frame, DataFrame, DataFrame, DataFrame | None]:
     """The frame, its rows that may lose lines (with ``drops``), the other rows, and if asked
     for the links ``place, row, links`` of each text's lines."""
     frame = Frame(documents)
     docs = _documents(frame)
     narrow = docs.select("place", "row", "text")
-    known, counts = classes(narrow, threshold, min_chars, hot)
+    known, counts = classes(narrow, threshold, hot)
     seen = kept(_seen(narrow)) if count_links else _seen(narrow)
     drops = kept(_drops(seen, known))
     key = ["place", "row"]
-    of_text = maybe_in(seen.select(*key, "k1"), counts, ["k1"]).distinct().join(counts, "k1").groupBy(*key).agg(F.sum("links").alias("links")) if count_links else None
+    of_text = maybe_in(seen.select(*key, "k1", "k2"), counts, ["k1"]).distinct().join(counts, ["k1", "k2"]).groupBy(*key).agg(F.sum("links").alias("links")) if count_links else None
     return frame, maybe_in(docs, drops, key).join(drops, key, "left"), not_in(docs, drops, key), of_text
 
 
-def deduplicated(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+def deduplicated(documents: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """All columns of ``documents`` with the lines that are left; ``n_chars``, where there is
     such a column, follows the text.  Rows that lose all their lines go."""
-    frame, touched, others, _ = _split_by_drops(documents, threshold, min_chars, hot, count_links=False)
+    frame, touched, others, _ = _split_by_drops(documents, threshold, hot, count_links=False)
     name = frame.name("text")
     left = without(F.col("text"), F.col("drops"))
     cut = touched.withColumn(name, F.when(F.col("drops").isNull(), F.col(name)).otherwise(left))
@@ -344,11 +426,11 @@ def deduplicated(documents: DataFrame, threshold: int = THRESHOLD, min_chars: in
     return frame.restore(cut.select(*others.columns).unionByName(others))
 
 
-def report(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+def report(documents: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """For each row: ``doc_id``, its lines, the lines it loses, the links of its lines to other
     lines, ``class_id`` (the smallest id that has one of the lost lines first, or its own), and
     a digest of the text that is left."""
-    frame, touched, others, links_of = _split_by_drops(documents, threshold, min_chars, hot, count_links=True)
+    frame, touched, others, links_of = _split_by_drops(documents, threshold, hot, count_links=True)
     lines = F.size(F.split("text", "\n")).cast("long")
     left = F.when(F.col("drops").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("drops")))
     one = touched.select(
@@ -369,17 +451,19 @@ def report(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     )
 
 
-#: The same for DuckDB at one edit and 20 characters; one edit leaves the first or the last nine
-#: characters of a pair alone.
+#: The same for DuckDB at one edit: it leaves the first or the last half of a pair's shorter line alone.
 ORACLE = r"""
 with recursive t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 o as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from t),
 b as (select *, regexp_matches(line, '[^\x20\x09-\x0D]') as worded from o),
 d as (select line, min(doc_id) as first from b where worded group by line),
-n as (select line, length(line) as len from d where length(line) >= 20),
-p as (select a.line as a, b.line as b from n a join n b on left(a.line, 9) = left(b.line, 9) and b.len between a.len - 1 and a.len + 1 and a.line <> b.line
-  union select a.line, b.line from n a join n b on right(a.line, 9) = right(b.line, 9) and b.len between a.len - 1 and a.len + 1 and a.line <> b.line),
-e as (select a, b from p where levenshtein(a, b) <= 1),
+n as (select line, length(line) as len from d where length(line) >= 4),
+h as (select line, len, unnest([len, len - 1]) as l from n),
+s as (select *, left(line, (l // 2)::int) as head, right(line, (l - l // 2)::int) as tail from h where l >= 4),
+p as (select a.line as a, b.line as b, a.len as l, b.len - a.len as more from s a join s b on a.l = a.len and b.l = a.l and a.head = b.head and a.line <> b.line
+  union select a.line, b.line, a.len, b.len - a.len from s a join s b on a.l = a.len and b.l = a.l and a.tail = b.tail and a.line <> b.line),
+q as (select a, b from p where len(list_filter(range(l + more), lambda i: left(a, i::int) = left(b, i::int) and substr(a, (i + 2 - more)::int) = substr(b, (i + 2)::int))) > 0),
+e as (select a, b from q union select b, a from q),
 r(line, other) as (select a, b from e union select r.line, e.b from r join e on r.other = e.a),
 cl as (select d.line, least(d.line, coalesce(min(other), d.line)) as class from d left join r on r.line = d.line group by d.line),
 cf as (select cl.class, min(d.first) as first from cl join d using (line) group by cl.class),

@@ -120,12 +120,36 @@ def test_distance(spark, threshold):
         assert r["d"] == want if want <= threshold else r["d"] > threshold
 
 
-@pytest.mark.parametrize(("threshold", "hot"), [(1, 1000), (1, 6), (2, 1000), (2, 30)])
+def linked(spark, lines, threshold, hot, depth):
+    """All links that ``links`` gives as pairs or groups, how often it gives each, and its rows."""
+    df = spark.createDataFrame([(i, -i, x) for i, x in enumerate(lines)], "k1 long, k2 long, s string")
+    near, members = line_dedup.links(df, threshold, hot, depth)
+    rows = near.collect()
+    found = collections.Counter((min(r["a1"], r["b1"]), max(r["a1"], r["b1"])) for r in rows)
+    assert all(r["a2"] == -r["a1"] and r["b2"] == -r["b1"] for r in rows)
+    groups = collections.defaultdict(list)
+    for r in members.collect() if members is not None else ():
+        groups[r["g"]].append(r["k1"])
+    for g in groups.values():
+        found.update((i, j) for i in g for j in g if i < j)
+    counts = {r["k1"]: r["links"] for r in line_dedup.joined_up(near, members)[1].collect()}
+    return found, counts, len(rows) + sum(map(len, groups.values()))
+
+
+def check_links(spark, lines, threshold, hot, depth=2):
+    found, counts, rows = linked(spark, lines, threshold, hot, depth)
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[j])) <= threshold and edits(lines[i], lines[j]) <= threshold}
+    assert set(found) == want and set(found.values()) <= {1}
+    assert counts == collections.Counter(i for p in want for i in p)
+    return rows
+
+
+@pytest.mark.parametrize(("threshold", "hot"), [(1, 1000), (1, 6), (1, 1), (2, 1000), (2, 30)])
 def test_links(spark, threshold, hot):
     rng = np.random.default_rng(5)
     lines = set()
     for k in range(25):
-        base = "".join(rng.choice(list("abcdefg "), 60 if k == 0 else rng.integers(20, 45)))
+        base = "".join(rng.choice(list("abcdefg "), 60 if k == 0 else rng.integers(6, 45)))
         for _ in range(40 if k == 0 else 4):
             b = list(base)
             for _ in range(rng.integers(0, 3)):
@@ -133,20 +157,22 @@ def test_links(spark, threshold, hot):
             if rng.random() < 0.4:
                 b.insert(int(rng.integers(0, len(b))), "y")
             lines.add("".join(b))
-    lines = sorted(lines)
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, s string")
-    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in line_dedup.links(df, threshold, hot, 2).collect()}
-    assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if edits(lines[i], lines[j]) <= threshold}
+    check_links(spark, sorted(lines), threshold, hot)
 
 
 def test_links_of_what_is_left_of_crowded_lines(spark):
     # Segments shared by all lines are cut out until next to nothing is left.
-    lines = ["a" * 20, "a" * 21, "a" * 22, *("a" * k + "b" + "a" * (19 - k) for k in range(20))]
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, s string")
-    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if edits(lines[i], lines[j]) <= 1}
-    for depth in (1, 4):
-        got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in line_dedup.links(df, 1, 2, depth).collect()}
-        assert got == want
+    lines = ["a" * 20, "a" * 21, "a" * 22, *("a" * k + "b" + "a" * (19 - k) for k in range(20)), "abab", "abaab", "ababa", "baba", "aaaa", "aaaaa"]
+    for hot in (1, 2, 100):
+        check_links(spark, lines, 1, hot)
+
+
+def test_links_of_a_large_group_are_no_pairs(spark):
+    """Lines that all differ in one place are all linked, but are one row each of the result."""
+    head, tail = "It was the same line again, but for one " * 2, " that differs."
+    lines = [head + chr(0x4E00 + i) + tail for i in range(300)] + [head + tail]
+    rows = check_links(spark, lines, 1, line_dedup.HOT)
+    assert rows <= 3 * len(lines)
 
 
 def test_line_dedup(docs, empty):
@@ -160,7 +186,7 @@ def test_line_dedup(docs, empty):
             x = parent[x]
         return x
 
-    near = [x for x in every if len(x) >= 20]
+    near = [x for x in every if len(x) >= 4]
     links = collections.Counter()
     for i, a in enumerate(near):
         for b in near[i + 1 :]:
