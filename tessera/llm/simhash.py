@@ -12,6 +12,11 @@ every group that already has too many.
 Equal fingerprints are one entry of the index.  From a node goes a spanning forest of its
 links, not all pairs; connected components over all forests give the groups.
 
+``one_of_each`` also takes texts as near duplicates whose word shingles are similar, however many
+bits their fingerprints are apart.  Candidates for that agree in one of ``BANDS`` groups of
+``ROWS`` least shingle hashes, a fixed number of rows for each text; every candidate is
+confirmed on the texts.
+
 Defined results: a null or empty text has fingerprint zero, linked like any other; null ids
 get a fingerprint and take part in no minimum (a group of null ids only has none); repeated
 rows are repeated in the result; an empty table gives an empty result.
@@ -24,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import Frame, map_batches, thinned
+from tessera.llm.frame import Frame, map_batches
 from tessera.operators.components import connected_components
 from tessera.plans.prune import maybe_in, not_in
 from tessera.plans.scratch import few, kept, staged
@@ -67,19 +72,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE, numbered: bool = False) -> DataFrame:
-    """``rid`` (a number of the row), ``doc_id`` and ``fp`` (the 64 bits as a long) of every row."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a long) of every row."""
     frame = Frame(documents)
-    df = frame.df.select(
-        (frame.col("rid") if numbered else F.monotonically_increasing_id()).alias("rid"), frame.col("doc_id").cast("long").alias("doc_id"), F.coalesce(frame.col("text"), F.lit("")).cast("binary").alias("text")
-    )
+    df = frame.df.select(frame.col("doc_id").cast("long").alias("doc_id"), F.coalesce(frame.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["rid", "doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return map_batches(df, work, "rid long, doc_id long, fp long")
+    return map_batches(df, work, "doc_id long, fp long")
 
 
 # -- the index of one node --------------------------------------------------------------
@@ -266,23 +269,15 @@ def links(codes: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFram
     return map_batches(held, _node_links(radius), "src long, dst long", 10_000)
 
 
-def grouped(found: DataFrame, radius: int = RADIUS, limit: int = NODE, edges: DataFrame | None = None) -> DataFrame:
-    """``fp`` and ``doc_id`` -> the same with ``component_id`` and a label of the group, by links
-    within ``radius`` bits or by given ``edges`` between fingerprints."""
+def grouped(found: DataFrame, radius: int = RADIUS, limit: int = NODE) -> DataFrame:
+    """``fp`` and ``doc_id`` -> the same with ``component_id`` of the group."""
     low = staged(few(found.groupBy("fp").agg(F.min("doc_id").alias("low"))), "codes")
-    joined = connected_components(links(low.select("fp"), radius, limit) if edges is None else edges)
+    joined = connected_components(links(low.select("fp"), radius, limit))
     members = joined.select(F.col("node").alias("fp"), "component").join(low, "fp")
     lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
-    group = members.join(lowest, "component").select("fp", "component_id", F.col("component").alias("label"))
-    every = staged(
-        few(
-            low.join(group, "fp", "left").select(
-                "fp", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("label", "fp").alias("label")
-            )
-        ),
-        "groups",
-    )
-    return found.join(every, "fp")
+    group = members.join(lowest, "component").select("fp", "component_id", "component")
+    every = low.join(group, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.join(staged(few(every), "groups"), "fp")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -292,73 +287,87 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     return grouped(found, radius).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+# -- similar texts, however many bits apart -------------------------------------------------
+
+#: Near duplicates in general: texts whose five-word shingles agree.
+WORDS, SIMILAR = 5, 0.8
+#: Rows of the index for each text, and the least hashes of which each is made.  Of two texts with
+#: a similarity of 0.8 all rows differ with a probability of (1 - 0.8^4)^24 = 3 in a million.
+BANDS, ROWS = 24, 4
+
+
 def similarity(a: bytes, b: bytes, width: int) -> float:
     """Jaccard similarity of the word shingles of two texts."""
     one, two = (set(zip(*(w[i:] for i in range(width)), strict=False)) or {tuple(w)} for w in (a.lower().split(), b.lower().split()))
     return len(one & two) / len(one | two)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending; a text of fewer words is one."""
+    """The distinct hashes of a text's word shingles; a text of fewer words is one."""
     found = text.lower().split()
-    n = max(len(found) - width + 1, 1)
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    if n == 1:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n], ends[width - 1 :].tolist(), strict=True)], np.uint64))
-
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    n = len(words) - width + 1
+    if n < 1:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), SEED)], np.uint64)
+    total = np.zeros(n, np.uint64)
+    for i in range(width):
+        total = _mixed(total + words[i : i + n])
+    return np.unique(total)
 
-def _sampled(width: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), width).view(np.int64))], ["h"])
 
-    return work
+class Bands:
+    """For each text ``bands`` hashes of ``rows`` least shingle hashes each."""
 
+    def __init__(self, bands: int, rows: int) -> None:
+        rng = np.random.default_rng(SEED)
+        self.shape = bands, rows
+        self.times = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-def common_shingles(rows: DataFrame, width: int, sample: int, most: int) -> np.ndarray:
-    """Hashes of shingles that a sample of the texts has several times, most frequent last."""
-    some = thinned(rows, F.col("rid"), sample, rows.count()).select("text")
-    counts = map_batches(some, _sampled(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
-    return found.column("h").to_numpy()[::-1].copy().view(np.uint64)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        least = np.full(len(self.times), (1 << 64) - 1, np.uint64)
+        for at in range(0, len(hashes), 4096):
+            part = hashes[at : at + 4096, None] * self.times + self.plus
+            np.minimum(least, part.min(axis=0), out=least)
+        total = np.arange(self.shape[0], dtype=np.uint64)
+        for column in least.reshape(self.shape).T:
+            total = _mixed(total + column)
+        return total
 
 
-def _prefixes(width: int, least: float, common: np.ndarray):
-    """``rid, n, h, at`` of the first shingles of each text in the common order: hashes ascending,
-    then what is frequent.  Two texts with a similarity of ``least`` have one of them in common."""
-    order = np.argsort(common)
-    known = common[order]
+def sketches(docs: DataFrame, shingle: int, width: int) -> DataFrame:
+    """``doc_id, t, text`` -> ``doc_id, t, fp, n, bands``: fingerprint, number of distinct shingles
+    of ``width`` words and rows of the index, all from one reading of the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Bands(BANDS, ROWS)
         for batch in batches:
-            found, size = [], []
-            for text in batch.column(1):
-                h = shingle_hashes(text.as_py(), width)
-                size.append(len(h))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, order[at] + 1, 0), kind="stable")]
-                found.append(h[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1])
-            if found:
-                taken = np.array(list(map(len, found)))
-                rid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), taken)
-                at = np.concatenate([np.arange(k) for k in taken])
-                h = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.repeat(size, taken).astype(np.int32)), pa.array(h), pa.array(at.astype(np.int32))], ["rid", "n", "h", "at"])
+            fp, n, bands = [], [], []
+            for value in batch.column(2):
+                text = value.as_py()
+                hashes = shingle_hashes(text, width)
+                fp.append(fingerprint(text, shingle))
+                n.append(len(hashes))
+                bands.append(maker.of(hashes))
+            ends = np.arange(len(bands) + 1, dtype=np.int32) * BANDS
+            flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
+            columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "t", "fp", "n", "bands"])
 
-    return work
+    return map_batches(docs.select("doc_id", "t", F.col("text").cast("binary").alias("text")), work, "doc_id long, t long, fp long, n int, bands array<long>")
 
 
 def _crossing(least: float, held: int = 1 << 18, made: int = 1 << 20):
-    """``h, label, rid, n, at`` in order of ``h, label`` -> pairs of texts with one ``h`` and
-    different labels whose sizes and places leave room for the similarity."""
+    """``h, label, t, fp, n`` in order of ``h, label`` -> pairs of texts with one ``h`` and
+    different labels whose sizes leave room for the similarity."""
 
-    def pairs(h: np.ndarray, label: np.ndarray, rid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(h: np.ndarray, label: np.ndarray, t: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero((h[1:] != h[:-1]) | (label[1:] != label[:-1])) + 1
         run = np.flatnonzero(h[1:] != h[:-1]) + 1
         every = np.arange(len(h))
@@ -372,10 +381,11 @@ def _crossing(least: float, held: int = 1 << 18, made: int = 1 << 20):
             count = (last - first)[start:end]
             a = np.repeat(every[start:end], count)
             b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[start:end], count)
-            need = np.ceil(least / (1 + least) * (n[a] + n[b]) - 1e-9)
-            keep = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9) & (np.minimum(n[a] - at[a], n[b] - at[b]) >= need)
-            x, y = rid[a[keep]], rid[b[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            keep = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
+            a, b = a[keep], b[keep]
+            swap = t[a] > t[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[a], fp[a], t[b], fp[b])], ["a", "fa", "b", "fb"])
             start = end
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,70 +414,88 @@ def _confirm(width: int, least: float):
         for batch in batches:
             fine = [similarity(a.as_py(), b.as_py(), width) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             keep = pa.array(np.flatnonzero(fine))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["src", "dst"])
 
     return work
 
 
-def similar_links(rows: DataFrame, found: DataFrame, radius: int, width: int, least: float) -> DataFrame:
+def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, least: float) -> DataFrame:
     """Links between fingerprints: all within ``radius`` bits (as a forest), and those that the
     similarity of two texts with shingles of ``width`` words, ``least`` or more, asks for.
 
-    ``rows`` are ``rid, text``, ``found`` their fingerprints.  Candidates are texts with one of
-    their first shingles in common, so none is missed, however many bits they are apart.
-    Neighbours of each shingle are confirmed first, which makes one group of most copies; then
-    every candidate pair whose ends are still in different groups.
+    ``docs`` are ``t, text``, ``found`` their sketches.  In each row of the index the texts are
+    held against the smallest of them first, which makes one group of most copies; then every
+    two texts of one row that are still in different groups.
     """
     near = staged(few(links(found.select("fp").distinct(), radius).distinct()), "near")
-    texts = rows.select("rid", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    copies = texts.select("rid", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    lowest = copies.groupBy("k1", "k2").agg(F.min("rid").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    extra = staged(few(copies.join(lowest, ["k1", "k2"]).where("rid > low").select("rid").distinct()), "copies")
-    single = not_in(texts, extra, ["rid"]).unionByName(maybe_in(texts, extra, ["rid"]).join(extra, "rid", "left_anti"))
-    common = common_shingles(texts, width, SAMPLE, COMMON)
-    index = map_batches(single, _prefixes(width, least, common), "rid long, n int, h long, at int")
-    order = Window.partitionBy("h").orderBy("n", "rid")
-    beside = index.select("*", F.lag("rid").over(order).alias("before"), F.lag("n").over(order).alias("less"), F.lead("rid").over(order).alias("after"))
-    shared = staged(beside.where("before is not null or after is not null").drop("after"), "shared-shingles")
-    fps = found.select("rid", "fp")
+    # Copies of a text are one entry; texts of one fingerprint are linked anyway.
+    single = found.groupBy("t", "fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    index = kept(single.select("t", "fp", "n", F.explode("bands").alias("h")))
+    entry = F.struct("n", "t", "fp")
+    heads = index.groupBy("h").agg(F.min(entry).alias("head"), (F.min("fp") != F.max("fp")).alias("several"), F.count(F.lit(1)).alias("m")).where("several")
+    shared = staged(_spread(index.join(heads.select("h", "head", "m"), "h")), "shared-rows")
+    texts = docs.select("t", F.col("text").cast("binary").alias("text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        wanted = kept(maybe_in(texts, ends, ["rid"]).join(ends, "rid"))
-        both = pairs.join(wanted.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a").join(wanted.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b")
-        fine = map_batches(both.select("a", "b", "x", "y"), _confirm(width, least), "a long, b long", 500)
-        named = fine.join(fps.select(F.col("rid").alias("a"), F.col("fp").alias("src")), "a").join(fps.select(F.col("rid").alias("b"), F.col("fp").alias("dst")), "b")
-        return staged(few(named.where("src <> dst").select("src", "dst").distinct()), "confirmed")
-
-    beside_each_other = shared.where(F.col("less") >= F.lit(least) * F.col("n") - 1e-9).select(F.least("before", "rid").alias("a"), F.greatest("before", "rid").alias("b"))
-    first = near.unionByName(confirmed(staged(few(beside_each_other.distinct()), "neighbours")))
+        ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
+        wanted = maybe_in(texts, ends, ["t"]).join(ends, "t").groupBy("t").agg(F.first("text").alias("text"))
+        wanted = staged(_spread(wanted), "wanted")
+        both = pairs.join(wanted.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(wanted.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
+        return staged(_spread(map_batches(both.select("fa", "fb", "x", "y"), _confirm(width, least), "src long, dst long", 500).distinct()), "confirmed")
+
+    def fits(a: Column, b: Column) -> Column:
+        return F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
+
+    head = F.col("head")
+    to_head = shared.where((F.col("fp") != head["fp"]) & fits(F.col("n"), head["n"])).select(
+        F.least("t", head["t"]).alias("a"), F.when(F.col("t") < head["t"], F.col("fp")).otherwise(head["fp"]).alias("fa"),
+        F.greatest("t", head["t"]).alias("b"), F.when(F.col("t") < head["t"], head["fp"]).otherwise(F.col("fp")).alias("fb"),
+    )
+    tested = staged(_spread(to_head.distinct()), "first-pairs")
+    first = near.unionByName(confirmed(tested))
     label = connected_components(first).select(F.col("node").alias("fp"), F.col("component").alias("label"))
-    group = fps.join(label, "fp", "left").select("rid", F.coalesce("label", "fp").alias("label"))
-    marked = staged(shared.join(group, "rid").select("h", "label", "rid", "n", "at"), "marked")
+    marked = shared.where("m > 2").join(label, "fp", "left").select("h", F.coalesce("label", "fp").alias("label"), "t", "fp", "n")
+    marked = staged(_spread(marked), "marked")
     mixed = marked.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
     runs = marked.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "label")
-    rest = staged(few(map_batches(runs, _crossing(least), "a long, b long", 10_000).distinct()), "crossing")
+    every = map_batches(runs, _crossing(least), "a long, fa long, b long, fb long", 10_000).distinct()
+    rest = staged(_spread(every.join(tested, ["a", "fa", "b", "fb"], "left_anti")), "crossing")
     return first.unionByName(confirmed(rest))
 
 
-#: Near duplicates in general: texts whose five-word shingles agree.
-WORDS, SIMILAR = 5, 0.8
-#: Texts looked at for frequent shingles (up to four times as many), and how many are remembered.
-SAMPLE, COMMON = 2500, 1 << 16
+def _spread(df: DataFrame) -> DataFrame:
+    """A table that is small against what it was made from, dealt out anew."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, width: int = WORDS, least: float = SIMILAR) -> DataFrame:
     """One row of each group of near duplicates with all its columns: the one with the smallest
-    id (null comes last), of rows with that id the first.
+    id (null comes last), of rows with that id one of them.
 
     Two texts are near duplicates within ``radius`` bits, or if their shingles of ``width``
-    words have a similarity of ``least`` or more.
+    words have a similarity of ``least`` or more.  Rows are named by id and a hash of the text,
+    so nothing depends on the order of the input.
     """
     frame = Frame(documents)
-    table = kept(frame.df.withColumn("rid", F.monotonically_increasing_id()))
-    rows = table.select("rid", frame.col("doc_id").alias("doc_id"), frame.col("text").alias("text"))
-    found = kept(fingerprints(rows, shingle, numbered=True))
-    marked = grouped(found, radius, edges=similar_links(rows.select("rid", "text"), found, radius, width, least))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    stay = marked.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.rid").alias("rid"))
-    return frame.restore(table.join(stay, "rid", "left_semi"))
+    text = F.coalesce(frame.col("text"), F.lit(""))
+    table = frame.df.withColumn("doc_id", frame.col("doc_id").cast("long")).withColumn("t", F.xxhash64(text))
+    docs = table.select("doc_id", "t", text.alias("text"))
+    found = kept(sketches(docs, shingle, width))
+    joined = connected_components(similar_links(docs.select("t", "text"), found, radius, width, least))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    per_code = found.groupBy("fp").agg(F.min(place).alias("place"), F.max(place).alias("most"), F.count(F.lit(1)).alias("m"))
+    label = per_code.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
+    label = staged(_spread(label.select("fp", "label", "place", "m")), "codes")
+    stay = label.groupBy("label").agg(F.min("place").alias("stay"), F.sum("m").alias("m")).where("m > 1")
+    chosen = label.join(stay.select("label", "stay"), "label").select("fp", "stay")
+    key = ["doc_id", "t"]
+    several = found.select("fp", *key).join(staged(_spread(chosen), "chosen"), "fp")
+    # Each id and text in a group of several rows: does it go, and are there more rows like it?
+    same = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("t") == F.col("stay.t"))
+    marks = staged(_spread(several.groupBy(*key).agg(F.min(~same).alias("goes"), F.count(F.lit(1)).alias("m")).where("goes or m > 1")), "marks")
+    other = not_in(table, marks, key)
+    held = maybe_in(table, marks, key).alias("x").join(marks.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.t") == F.col("y.t")), "left")
+    held = held.where("goes is null or not goes").select("x.*", "m")
+    names = frame.df.columns
+    one = held.where("m > 1").groupBy(*key).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+    return frame.restore(other.select(*names).unionByName(held.where("m is null or m = 1").select(*names)).unionByName(one))
