@@ -70,13 +70,14 @@ def thinned(df: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch may hold, in rows and in bytes, so long texts stay cheap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``rows`` rows.  The session's own limits of a batch,
+    in rows and bytes, are left as they are; its batches are cut here."""
     ensure(df.sparkSession)
-    small_batches(df.sparkSession, rows)
-    return df.mapInArrow(work, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: work(cut(batches)), schema)

@@ -54,8 +54,11 @@ class Classifier:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    #: Words without which a paragraph has no feature at all.
+    #: All words of all features: a paragraph without any of them has no feature.
     words: frozenset[str] = frozenset()
+    featureless: tuple[str, float, float] = (UNKNOWN, 1.0, 0.0)
+    #: What the model says on the held-out examples: number, accuracy, log loss, calibration error.
+    held_out: dict[str, float] = field(default_factory=dict)
     templates: dict[str, list[frozenset[str]]] = field(default_factory=dict)
 
     def features(self, found: list[str]) -> list[int]:
@@ -169,11 +172,26 @@ def fit(negatives: list[str], steps: int = 200, rate: float = 10.0, decay: float
 
     model.weights, model.bias = w.astype(float), b.astype(float)
     model.temperature = min((0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0), key=loss)
-    model.words = frozenset(w for g in feature for w in g.split(" ") if g in feature and " " not in g)
+    model.words = frozenset(w for g in feature for w in g.split(" "))
     model.templates = {f: [_comparable(tokens(t)) for t in notices] for f, notices in TEMPLATES.items()}
+    model.featureless = model.classify([])
+    model.held_out = calibration(model, [t for t, h in zip(texts, held, strict=True) if h], [t for t, h in zip(labels, held, strict=True) if h])
     return model
 
 
+def calibration(model: Classifier, texts: list[list[str]], labels: list[str], bins: int = 10) -> dict[str, float]:
+    """Accuracy, log loss, and the expected calibration error: the mean distance between what the
+    model says of its first choice and how often that is right, by bins of probability."""
+    if not texts:
+        return {}
+    p = np.array([model.probabilities(t) for t in texts])
+    y = np.array([model.families.index(x) for x in labels])
+    sure, right = p.max(axis=1), p.argmax(axis=1) == y
+    at = np.minimum((sure * bins).astype(int), bins - 1)
+    gap = sum(abs(sure[at == b].mean() - right[at == b].mean()) * (at == b).mean() for b in set(at.tolist()))
+    return {"n": len(y), "accuracy": float(right.mean()), "log_loss": float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()), "calibration_error": float(gap)}
+
+
 def sample_lines(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
     """Lines of the bounded training sample."""
     frame = Frame(documents)
@@ -194,12 +212,10 @@ def found_in(model: Classifier, text: str) -> list[tuple[int, str, float, float]
     out = []
     for i, line in enumerate(text.split("\n")):
         found = tokens(line)
-        # A line without any word that is a feature has features of two words and more at most;
-        # every n-gram of a notice that is a feature has such a word or is judged in full.
-        if found and not model.words.isdisjoint(found):
-            family, p, like = model.classify(found)
-            if family != UNKNOWN:
-                out.append((i, family, p, like))
+        # Without a word of any feature the model sees nothing but its bias.
+        family, p, like = model.featureless if model.words.isdisjoint(found) else model.classify(found)
+        if found and family != UNKNOWN:
+            out.append((i, family, p, like))
     return out
 
 

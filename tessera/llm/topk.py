@@ -10,8 +10,9 @@ both have a bounded size, so large cells (a third of all vectors may be equal) a
 many queries need become more units, not larger ones.  Pivots are a bounded sample
 (``pivots`` rows of least hash); the result does not depend on them.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no
-part, nor do null ids; vectors of different lengths are not compared; all rows with a query's
+Defined results: vectors that are null or hold null or non-finite components take no part, nor
+do null ids; vectors of different lengths are not compared; empty ones score zero among
+themselves; all rows with a query's
 id are its own and no candidates; a repeated query row gives its list again; equal scores go by
 smaller id.  Scores beyond 64 bits are clipped to that range.
 """
@@ -41,7 +42,7 @@ def vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", sc
     frame = Frame(table)
     raw = frame.col(vector).cast("array<double>")
     fine = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    df = frame.df.where(frame.col(key).isNotNull() & raw.isNotNull() & (F.size(raw) > 0) & fine)
+    df = frame.df.where(frame.col(key).isNotNull() & raw.isNotNull() & fine)
     # Spark's floor gives a long; components beyond it stay doubles, which have no fraction there.
     whole = F.transform(raw, lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * scale).cast("double")).otherwise(x * scale))
     return df.select(frame.col(key).cast("long").alias("vec_id"), whole.alias("v"))
@@ -50,7 +51,7 @@ def vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", sc
 def _matrix(column: pa.Array) -> np.ndarray:
     """Lists of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
 def _by_length(column: pa.Array) -> Iterator[np.ndarray]:
@@ -235,7 +236,7 @@ def searched(table: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOT
 ORACLE = r"""
 with e as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0 and vec_id is not null),
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
 s as (
   select q.vec_id as query_id, x.vec_id, list_dot_product(q.v, x.v)::bigint as score
   from e q join e x on q.vec_id <> x.vec_id and len(q.v) = len(x.v) where q.vec_id % 50 = 0),

@@ -591,13 +591,31 @@ def test_licence_accuracy_on_held_out_examples(classifier):
 
 
 def test_licence_scan(spark, classifier, empty):
-    rows = [(1, "Prose and more prose.\nReleased under the MIT License.\nThe end."), (2, "nothing here"), (3, None), (4, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (None, "Released under the MIT License.")]
+    rows = [(1, "Prose and more prose.\nReleased under the MIT License.\nThe end."), (2, "nothing here"), (3, None), (4, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (2, "nothing here"), (5, "prose " * 300_000 + "\nReleased under the MIT License."), (None, "Released under the MIT License.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["families"], r["n_confirmed"], [h["line"] for h in r["hits"]]) for r in license_scan.scanned(df, classifier).collect()}
+    rows = license_scan.scanned(df, classifier).collect()
+    got = {r["doc_id"]: (r["families"], r["n_confirmed"], [h["line"] for h in r["hits"]]) for r in rows}
+    assert len(rows) == 7 and got.pop(5) == ("mit", 1, [1])
     assert got == {1: ("mit", 1, [1]), 2: ("", 0, []), 3: ("", 0, []), 4: ("apache,cc-by-nc", 2, [0, 1]), None: ("mit", 1, [0])}
     assert license_scan.scanned(empty).count() == 0
 
 
+def test_licence_lines_are_all_judged(classifier):
+    """The shortcut for lines without a word of a feature changes nothing."""
+    rng = np.random.default_rng(3)
+    pool = [w for notices in license_scan.TEMPLATES.values() for t in notices for w in license_scan.tokens(t)] + ["prose", "more", "word"] * 200
+    lines = [" ".join(rng.choice(pool, rng.integers(0, 9))) for _ in range(600)] + ["the mit license", "", "?!", "as is", "nothing like it"]
+    got = license_scan.found_in(classifier, "\n".join(lines))
+    want = [(i, *classifier.classify(license_scan.tokens(x))) for i, x in enumerate(lines) if license_scan.tokens(x)]
+    assert got == [w for w in want if w[1] != license_scan.UNKNOWN]
+    assert any(lines[i] == "the mit license" and family == "mit" for i, family, _, _ in got)
+
+
+def test_licence_calibration(classifier):
+    held = classifier.held_out
+    assert held["n"] > 200 and held["accuracy"] > 0.9 and held["log_loss"] < 0.4 and held["calibration_error"] < 0.05
+
+
 # -- exact search --------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -605,9 +623,9 @@ def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.normal(size=8).round(2).tolist()) for i in range(300)]
     rows += [(int(i), [0.5] * 8) for i in range(300, 420)]  # a large group of equal vectors
-    rows += [(1000, None), (1050, [1.0, None] * 4), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, [1.0, 2.0]), (1201, [3.0, 4.0]), (1250, []), (None, [1.0] * 8), rows[50], rows[7]]
+    rows += [(1000, None), (1050, [1.0, None] * 4), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, [1.0, 2.0]), (1201, [3.0, 4.0]), (1250, []), (1300, []), (1301, []), (None, [1.0] * 8), rows[50], rows[7]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("V"), F.lit(2).alias("cell"))
-    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = collections.Counter()
     for i, q in fine:
         if i % 50 == 0:
