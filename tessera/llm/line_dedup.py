@@ -14,7 +14,7 @@ of ``threshold`` diagonals.
 Where more than ``hot`` lines share a segment no pairs are listed.  The segment is cut out of
 them and the rest is split and probed again within the group: the same two bounds hold for what
 is left, so large groups fall apart by their own differences.  At one edit this goes on until
-at most ``SHORT`` characters are left; lines that then agree in all but one place are one row
+at most ``REST`` characters are left; lines that then agree in all but one place are one row
 each of a group whose members are all linked, and a line and the line with one character more
 meet under what is left without that character.  Every substitution is found in one group or
 one pair only, so links are counted by group sizes.  At more than one edit groups are split
@@ -44,8 +44,9 @@ THRESHOLD = 1
 HOT = 32
 #: Times a group is split at most if there is more than one edit.
 DEPTH = 4
-#: At one edit, characters of a line whose variants are listed instead of its segments.
-SHORT = 16
+#: At one edit, characters of a line, and of what is left of one in a crowded group, whose
+#: variants are listed instead of its segments.
+SHORT, REST = 16, 64
 LAST = (1 << 63) - 1
 
 
@@ -229,6 +230,12 @@ def _variants(lines: DataFrame, longer: DataFrame) -> tuple[DataFrame, DataFrame
     return groups, pairs
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table that is small against what it was made from, dealt out anew: what made it keeps
+    all its tasks."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def _plus(one: DataFrame | None, other: DataFrame) -> DataFrame:
     return other if one is None else one.unionByName(other)
 
@@ -243,9 +250,10 @@ def candidates(lines: DataFrame, threshold: int, hot: int = HOT, depth: int = DE
     while True:
         if threshold == 1:
             # A longer line belongs to the lengths of its partners, one less.
-            lines_left = _plus(lines_left, as_index.where(F.length("s") <= SHORT))
-            longer_left = _plus(longer_left, as_probe.where(F.length("s") <= SHORT + 1))
-            as_index, as_probe = as_index.where(F.length("s") > SHORT), as_probe.where(F.length("s") > SHORT + 1)
+            short = REST if step else SHORT
+            lines_left = _plus(lines_left, as_index.where(F.length("s") <= short))
+            longer_left = _plus(longer_left, as_probe.where(F.length("s") <= short + 1))
+            as_index, as_probe = as_index.where(F.length("s") > short), as_probe.where(F.length("s") > short + 1)
         index, probe = indexed(as_index, threshold), probing(as_probe, threshold)
         crowded = None
         if threshold == 1 or step < depth:
@@ -255,13 +263,14 @@ def candidates(lines: DataFrame, threshold: int, hot: int = HOT, depth: int = DE
         if crowded is None:
             pairs = _plus(pairs, _met(index, probe))
             break
-        pairs = _plus(pairs, _met(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti")))
+        # All of a level is written, so that no plan holds those of the levels before it.
+        calm = _met(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti"))
+        pairs = _plus(pairs, staged(_spread(calm.distinct()), "pairs"))
 
-        def rest(entries: DataFrame, source: DataFrame, crowded: DataFrame = crowded) -> DataFrame:
-            """The lines of crowded keys without the segment they share; written, so that the
-            plan of a level does not hold those of the levels before it."""
+        def rest(entries: DataFrame, source: DataFrame, crowded: DataFrame = crowded, step: int = step) -> DataFrame:
+            """The lines of crowded keys without the segment they share."""
             hit = staged(few(entries.join(crowded, "key", "left_semi")), "crowded-entries")
-            joined = maybe_in(source, hit, ["id", "group"]).join(hit, ["id", "group"])
+            joined = (source if step else maybe_in(source, hit, ["id", "group"])).join(hit, ["id", "group"])
             cut = F.concat(F.substring(F.col("s"), F.lit(1), F.col("start") - 1), F.substring(F.col("s"), F.col("start") + F.col("n"), F.length("s")))
             return staged(few(joined.select("id", cut.alias("s"), F.col("key").alias("group")).distinct()), "crowded-rests")
 
@@ -270,7 +279,7 @@ def candidates(lines: DataFrame, threshold: int, hot: int = HOT, depth: int = DE
     if threshold > 1:
         return pairs, None
     groups, more = _variants(lines_left, longer_left)
-    return pairs.unionByName(more), groups
+    return pairs.unionByName(more), staged(_spread(groups), "line-groups")
 
 
 # -- lines and classes --------------------------------------------------------------------------
@@ -284,21 +293,14 @@ def _worded(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITE)) != ""
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A table that is small against what it was made from, dealt out anew: what made it keeps
-    all its tasks."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-
-
 def links(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
     """Distinct linked pairs ``a1, a2, b1, b2`` of distinct lines ``k1, k2, s`` and, of one edit,
     the members ``g, k1, k2`` of groups in which every two lines are linked, with ``r1, r2``, the
     member that stands for the group.  A link is in one pair or in one group."""
     pairs, groups = candidates(lines.select(F.col("k1").alias("id"), "s"), threshold, hot, depth)
-    pairs = kept(pairs.distinct())
+    pairs = staged(_spread(pairs.distinct()), "candidates")
     ids = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1")))
     if groups is not None:
-        groups = staged(_spread(groups), "line-groups")
         ids = ids.unionByName(groups.select(F.col("id").alias("k1")))
     ids = ids.distinct()
     texts = kept(maybe_in(lines.select("k1", "k2", "s"), ids, ["k1"]).join(ids, "k1"))
