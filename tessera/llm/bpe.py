@@ -9,6 +9,11 @@ keeps the rest, so its memory is bounded by the lookahead, not by the word or th
 Decoding is a state machine as well: token by token it turns the byte alphabet back into
 bytes and the bytes into text, holding back at most an unfinished UTF-8 sequence.
 
+A text is read in blocks that end at white space, every word goes through the transducer, ids
+are hashed and decoded block by block as they are settled, and words seen before are looked up
+in a bounded table of the transducer's own results.  So besides the text itself memory holds one
+block (or the longest run without white space or digits), the lookahead and that table.
+
 The vocabulary file is a parameter (a Hugging Face ``tokenizer.json`` with a BPE model, NFC,
 white space and lower-case normalisation, and a splitting pattern); nothing is trained.
 Defined results: a null text is empty and has no tokens; repeated rows are encoded one by one;
@@ -23,7 +28,7 @@ import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,25 @@ from pyspark.sql import functions as F
 from tessera.llm.frame import Frame, map_batches
 
 #: Symbols read before stable tokens are looked for.
-CHUNK = 4096
+CHUNK = 1024
 #: Words kept with their tokens, per worker; when full, the cache starts anew.
 CACHE = 1 << 19
 #: Longer words are not worth keeping.
 CACHED_LENGTH = 64
+#: Characters of a block.
+BLOCK = 1 << 16
+#: Up to so many symbols the pair to merge is looked for by a scan, beyond by a heap.
+SCANNED = 64
+
+# Code points that Unicode versions after 16.0, the library's, made letters or
+# numbers.  The library takes them for neither.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 "
+    "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+# Lower case of characters that are newer than Unicode 15.1, as first-last:lower.
+LATER_LOWER = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
 
 
 def byte_alphabet() -> list[str]:
@@ -49,39 +68,30 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
-#: The first code point without a character; only texts beyond it are searched for others.
-FIRST_UNKNOWN = "\u0378"
-_UNKNOWN: list[regex.Pattern] = []
+def _ranges(listed: str) -> Iterator[tuple[int, int]]:
+    for item in listed.split():
+        first, _, last = item.partition("-")
+        yield int(first, 16), int(last or first, 16)
 
 
-def unknown() -> regex.Pattern:
-    """Matches code points to which this Python's Unicode version gives no character."""
-    if not _UNKNOWN:
-        ends, held = [], None
-        for code in range(0x378, 0x110001):
-            free = code < 0x110000 and unicodedata.category(chr(code)) == "Cn"
-            if free and held is None:
-                held = code
-            elif not free and held is not None:
-                ends.append(f"\\U{held:08x}-\\U{code - 1:08x}")
-                held = None
-        _UNKNOWN.append(regex.compile(f"[{''.join(ends)}]", regex.V0))
-    return _UNKNOWN[0]
+def later_classes() -> str:
+    """``LATER`` as the inside of a character class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(LATER))
 
 
-class Merges:
-    """A BPE model: ``rank`` has the place of a pair ``left << 32 | right`` and ``made`` its token."""
+def later_lower() -> dict[int, int]:
+    found = {}
+    for item in LATER_LOWER.split():
+        upper, _, lower = item.partition(":")
+        for a, b in _ranges(upper):
+            found |= {code: int(lower, 16) + code - a for code in range(a, b + 1)}
+    return found
 
-    def library(self):
-        """The library's own reader of this file, for its splitting only."""
-        if self._library is None:
-            from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self.path)
-        return self._library
+class Merges:
+    """A BPE model: ``rank`` has the place of a pair ``left << 32 | right`` and ``made`` its token."""
 
     def __init__(self, path: str) -> None:
-        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
@@ -97,7 +107,11 @@ class Merges:
         bytes_ = byte_alphabet()
         self.inner = [v[c] for c in bytes_]
         self.last = [v[c + self.end] for c in bytes_]
-        self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V0)
+        pattern = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern, regex.V0)
+        # For texts with newer characters: the same without them among letters and numbers.
+        older = {c: f"[{c}--[{later_classes()}]]" for c in (r"\p{L}", r"\p{N}")}
+        self.careful = regex.compile(regex.sub(r"\\p\{[LN]\}", lambda m: older[m.group()], pattern), regex.V1)
         self.lookahead = lookahead(self.tokens, self.pairs)
 
 
@@ -123,8 +137,8 @@ def lookahead(tokens: dict[int, str], pairs: list[tuple[int, int]]) -> int:
     return most + max(map(len, tokens.values()), default=0)
 
 
-def merge_word(symbols: list[int], rank: dict[int, int], made: list[int]) -> list[int]:
-    """Plain BPE, for short words: the pair of lowest rank is merged until none is left."""
+def merge_short(symbols: list[int], rank: dict[int, int], made: list[int]) -> list[int]:
+    """BPE of few symbols: the pair of lowest rank is merged until none is left."""
     get = rank.get
     while (n := len(symbols)) > 1:
         found = [get(a << 32 | b, 1 << 60) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
@@ -144,7 +158,7 @@ def merge_word(symbols: list[int], rank: dict[int, int], made: list[int]) -> lis
 
 
 def merge_long(symbols: list[int], rank: dict[int, int], made: list[int]) -> list[tuple[int, int]]:
-    """The same for long inputs, in n log n: ``(token, first symbol after it)``."""
+    """The same for many symbols, in n log n: ``(token, first symbol after it)``."""
     n = len(symbols)
     token, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get(symbols[i] << 32 | symbols[i + 1])) is not None]
@@ -189,12 +203,15 @@ class WordTransducer:
             yield token
         del self.held[:done]
 
-    def finish(self) -> Iterator[int]:
-        if self.held:
-            symbols = [self.m.inner[b] for b in self.held]
-            symbols[-1] = self.m.last[self.held[-1]]
-            yield from (t for t, _ in merge_long(symbols, self.m.rank, self.m.made))
+    def finish(self) -> list[int]:
+        if not self.held:
+            return []
+        symbols = [self.m.inner[b] for b in self.held]
+        symbols[-1] = self.m.last[self.held[-1]]
         self.held.clear()
+        if len(symbols) <= SCANNED:
+            return merge_short(symbols, self.m.rank, self.m.made)
+        return [t for t, _ in merge_long(symbols, self.m.rank, self.m.made)]
 
 
 class Encoder:
@@ -202,8 +219,12 @@ class Encoder:
 
     def __init__(self, merges: Merges) -> None:
         self.m = merges
+        self.run = WordTransducer(merges)
         self.known: dict[str, bytes] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
+        self.lower = later_lower()
+        self.first_later = chr(min(min(self.lower), *(a for a, _ in _ranges(LATER))))
+        self.later = regex.compile(f"[{later_classes()}{''.join(map(chr, self.lower))}]", regex.V0)
 
     def normal(self, text: str) -> str:
         """NFC, any white space as a space, and lower case letter by letter (so without the
@@ -211,71 +232,99 @@ class Encoder:
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
+    def words(self, piece: str) -> list[str]:
+        if not piece.isascii() and max(piece) >= self.first_later and self.later.search(piece):
+            return self.m.careful.findall(self.normal(piece).translate(self.lower))
+        return self.m.pattern.findall(self.normal(piece))
+
     def word(self, word: str) -> bytes:
         """The ids of a word as little-endian 32-bit integers."""
         data = word.encode("utf-8", "surrogatepass")
-        packed = self.tokens(data)
+        packed = array("I", [*self.run.feed(data), *self.run.finish()]).tobytes()
         if len(data) <= CACHED_LENGTH:
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = packed
         return packed
 
-    def tokens(self, data: bytes) -> bytes:
-        if len(data) <= CACHED_LENGTH:
-            symbols = [self.m.inner[b] for b in data]
-            symbols[-1] = self.m.last[data[-1]]
-            return array("I", merge_word(symbols, self.m.rank, self.m.made)).tobytes()
-        run = WordTransducer(self.m)
-        return array("I", [*run.feed(data), *run.finish()]).tobytes()
-
-    def split_by_library(self, text: str) -> list[bytes]:
-        """Words of a text with characters that this Python does not know yet: their case and
-        class are the library's matter."""
-        library = self.m.library()
-        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
-        return [bytes(byte_of[c] for c in piece) for piece, _ in pieces]
-
-    def encode(self, text: str) -> bytes:
+    def block(self, text: str) -> Iterator[bytes]:
+        """The ids of a text that ends at the end of a word."""
         pieces = self.cut.split(text) if self.cut and any(s in text for s in self.m.special) else [text]
-        out, get, find = [], self.known.get, self.m.pattern.findall
+        get = self.known.get
         for piece in pieces:
             if piece in self.m.special:
-                out.append(array("I", [self.m.special[piece]]).tobytes())
-            elif not piece.isascii() and max(piece) >= FIRST_UNKNOWN and unknown().search(piece):
-                out += map(self.tokens, self.split_by_library(piece))
-            else:
-                out += [get(w) or self.word(w) for w in find(self.normal(piece))]
-        return b"".join(out)
+                yield array("I", [self.m.special[piece]]).tobytes()
+                continue
+            for found in (words[at : at + 4096] for words in [self.words(piece)] for at in range(0, len(words), 4096)):
+                if len(piece) > BLOCK and max(map(len, found)) > BLOCK:  # a word that is longer than a block
+                    for w in found:
+                        data = w.encode("utf-8", "surrogatepass")
+                        for at in range(0, len(data), BLOCK):
+                            yield array("I", self.run.feed(data[at : at + BLOCK])).tobytes()
+                        yield array("I", self.run.finish()).tobytes()
+                else:
+                    yield b"".join([get(w) or self.word(w) for w in found])
+
+    def stream(self, pieces: Iterable[str], block: int = BLOCK) -> Iterator[bytes]:
+        """The ids of a text that comes in pieces, as soon as they are settled.
+
+        A block ends after white space, or else after a digit that has an ASCII character behind
+        it: no word, no special token and no composed character goes beyond either.
+        """
+        held = ""
+        for piece in pieces:
+            for at in range(0, len(piece), block):
+                held = held + piece[at : at + block] if held else piece[at : at + block]
+                if len(held) < block:
+                    continue
+                end = max(held.rfind(" "), held.rfind("\n")) + 1
+                if not end and (digit := _AFTER_DIGIT.search(held)):
+                    end = digit.start(1)
+                if end:
+                    yield from self.block(held[:end])
+                    held = held[end:]
+        if held:
+            yield from self.block(held)
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.stream([text]))
+
+
+#: The last place after a digit and before another ASCII character.
+_AFTER_DIGIT = regex.compile(r"(?r)[0-9]()[\x00-\x7f]")
 
 
 class Decoder:
-    """Ids to text, token by token.
+    """Ids to text, id by id: the bytes of each token go through an incremental UTF-8 decoder,
+    which holds back what is unfinished.
 
-    ``names`` gives the library's decoding of a vocabulary without a decoder: the tokens'
-    names with spaces between.  ``feed`` is the byte-to-text machine: it undoes the byte
-    alphabet, makes an end-of-word mark a space and holds back unfinished UTF-8 sequences.
+    With ``names`` the tokens' names with a space between, the library's decoding of a vocabulary
+    without a decoder.  Otherwise the byte alphabet is undone and an end-of-word mark is a space.
     """
 
-    def __init__(self, merges: Merges) -> None:
+    def __init__(self, merges: Merges, names: bool = False) -> None:
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        size = max(merges.tokens, default=-1) + 1
-        self.name = [merges.tokens.get(i, "") for i in range(size)]
+        self.names, self.begun = names, False
         self.bytes: list[bytes] = []
-        for i, name in enumerate(self.name):
+        for i in range(max(merges.tokens, default=-1) + 1):
+            name = merges.tokens.get(i, "")
             body = name.removesuffix(merges.end) if merges.end else name
-            special = merges.special.get(name) == i
-            self.bytes.append(name.encode() if special else bytes(byte_of[c] for c in body) + b" " * (body != name))
+            if names:
+                self.bytes.append(b" " + name.encode())
+            elif merges.special.get(name) == i:
+                self.bytes.append(name.encode())
+            else:
+                self.bytes.append(bytes(byte_of[c] for c in body) + b" " * (body != name))
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def names(self, ids: list[int]) -> str:
-        return " ".join(map(self.name.__getitem__, ids))
-
-    def feed(self, ids: list[int], final: bool = False) -> str:
-        text = self.state.decode(b"".join(map(self.bytes.__getitem__, ids)), final)
+    def feed(self, ids: Iterable[int], final: bool = False) -> str:
+        data = b"".join(map(self.bytes.__getitem__, ids))
+        if self.names and data and not self.begun:
+            self.begun, data = True, data[1:]
+        text = self.state.decode(data, final)
         if final:
             self.state.reset()
+            self.begun = False
         return text
 
 
@@ -289,13 +338,14 @@ def model(path: str) -> Merges:
     return _MODELS[path]
 
 
-_ENCODERS: dict[str, tuple[Encoder, Decoder]] = {}
+_CODERS: dict[str, tuple[Encoder, Decoder, Decoder]] = {}
 
 
-def coders(path: str) -> tuple[Encoder, Decoder]:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(model(path)), Decoder(model(path))
-    return _ENCODERS[path]
+def coders(path: str) -> tuple[Encoder, Decoder, Decoder]:
+    """An encoder, the decoder to names and the decoder to text."""
+    if path not in _CODERS:
+        _CODERS[path] = Encoder(model(path)), Decoder(model(path), names=True), Decoder(model(path))
+    return _CODERS[path]
 
 
 def encoded(documents: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -305,24 +355,32 @@ def encoded(documents: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     df = frame.df.select(frame.col(key).alias(key), F.coalesce(frame.col(text), F.lit("")).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = coders(vocabulary)
+        encoder, names, back = coders(vocabulary)
         for batch in batches:
             counts, id_digests, text_digests, lists, texts = [], [], [], [], []
             for value in batch.column(1):
-                packed = encoder.encode(value.as_py())
-                found = np.frombuffer(packed, "<u4").tolist()
-                counts.append(len(found))
-                id_digests.append(hashlib.sha256(packed).hexdigest())
-                text_digests.append(hashlib.sha256(decoder.names(found).encode()).hexdigest())
+                n, of_ids, of_text, all_ids, whole = 0, hashlib.sha256(), hashlib.sha256(), [], []
+                for packed in encoder.stream([value.as_py()]):
+                    settled = np.frombuffer(packed, "<u4").tolist()
+                    n += len(settled)
+                    of_ids.update(packed)
+                    of_text.update(names.feed(settled).encode())
+                    if ids:
+                        all_ids += settled
+                        whole.append(back.feed(settled))
+                of_text.update(names.feed([], final=True).encode())
+                counts.append(n)
+                id_digests.append(of_ids.hexdigest())
+                text_digests.append(of_text.hexdigest())
                 if ids:
-                    lists.append(found)
-                    texts.append(decoder.feed(found, final=True))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+                    lists.append(all_ids)
+                    texts.append("".join(whole) + back.feed([], final=True))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+            found = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 columns += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                found += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, found)
 
     kind = dict(df.dtypes)[key]
     more = ", ids array<int>, decoded string" if ids else ""

@@ -333,21 +333,30 @@ def test_bpe_transducer(tokenizer):
     from hypothesis import strategies as st
 
     path, library = tokenizer
-    encoder, decoder = bpe.coders(path)
+    encoder, names, _ = bpe.coders(path)
     merges = bpe.model(path)
-    pieces = st.sampled_from(["the", "ing", "tion", "a", "e", "x", "é", "漢", "0", "'s", " ", "\n", "Σ", "<|endoftext|>", "!!", "İ", "\x1c", "\x85", "ß"])
+    pieces = st.sampled_from(["the", "ing", "tion", "a", "e", "x", "é", "漢", "0", "'s", " ", "\n", "Σ", "<|endoftext|>", "!!", "İ", "\x1c", "\x85", "ß", "\u0301"])
 
     @settings(max_examples=150, deadline=None)
-    @given(st.lists(pieces | st.characters(exclude_categories=["Cs"]), max_size=40))
-    def same(parts):
+    @given(st.lists(pieces | st.characters(exclude_categories=["Cs"]), max_size=40), st.integers(1, 9))
+    def same(parts, block):
         text = "".join(parts)
         ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
-        assert decoder.names(ids) == library.decode(ids, skip_special_tokens=False)
+        assert ids == np.frombuffer(b"".join(encoder.stream(parts, block)), "<u4").tolist()
+        assert "".join(names.feed([i]) for i in ids) + names.feed([], final=True) == library.decode(ids, skip_special_tokens=False)
 
     same()
-    for code in (0x558, 0x208F, 0xA7CE, 0x16EA0, 0x3D000, 0x11DE0, 0x1C89, 0xA7CB, 0x10D50, 0xE0FFF, 0x10FFFF):
-        same.hypothesis.inner_test(["the", chr(code), "Ab", chr(code), " ", chr(code)])
+    # Every code point whose class or case newer Unicode versions changed, and its neighbours.
+    codes = {c for a, b in bpe._ranges(bpe.LATER) for c in (a - 1, a, (a + b) // 2, b, b + 1)} | set(bpe.later_lower()) | {0xE0FFF, 0x10FFFF}
+    for code in sorted(codes):
+        same.hypothesis.inner_test(["the", chr(code), "Ab", chr(code), " 1", chr(code), "!", chr(code)], 5)
+
+
+def test_bpe_memory_is_bounded(tokenizer):
+    """50 MB in pieces: neither blocks nor what the transducer holds grow."""
+    path, library = tokenizer
+    merges = bpe.model(path)
     rng = np.random.default_rng(0)
     for alphabet in ("abcdefghijklmnopqrstuvwxyz", "the", "ain"):
         word = "".join(rng.choice(list(alphabet), 20_000))
@@ -359,11 +368,25 @@ def test_bpe_transducer(tokenizer):
         ids += run.finish()
         assert ids == library.encode(word, add_special_tokens=False).ids
         assert most <= merges.lookahead + 64 + 50
+    encoder, names, _ = bpe.coders(path)
+    part = " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(20_000)) + " "
+    times = 50_000_000 // len(part) + 1
+    n, longest, digest = 0, 0, hashlib.sha256()
+    for packed in encoder.stream(part for _ in range(times)):
+        n += len(packed) // 4
+        longest = max(longest, len(packed), len(encoder.run.held))
+        digest.update(packed)
+    ids = library.encode(part, add_special_tokens=False).ids
+    assert n == times * len(ids) and longest <= 64 * 4096
+    assert digest.hexdigest() == hashlib.sha256(np.array(ids * times, "<u4").tobytes()).hexdigest()
+    # A run of letters that is longer than a block goes through the transducer in pieces.
+    run = "".join(rng.choice(list("abcdefghij"), 200_000))
+    assert np.frombuffer(encoder.encode(run), "<u4").tolist() == library.encode(run, add_special_tokens=False).ids
 
 
 def test_bpe_decoder_state(tokenizer):
     path, library = tokenizer
-    encoder, decoder = bpe.coders(path)
+    encoder, _, decoder = bpe.coders(path)
     ids = np.frombuffer(encoder.encode("héllo wörld 漢字 😀"), "<u4").tolist()
     assert "".join(decoder.feed([i]) for i in ids) + decoder.feed([], final=True) == "héllo wörld 漢字 😀 "
 
