@@ -4,13 +4,16 @@ A window is ``WINDOW`` words in a row.  Windows with equal words share an anchor
 phrases of ``PHRASE`` words in a window, the first with the least hash.  So two texts can share
 a window only if one of its anchors is found in both.
 
-1.  Every text gives its anchors.  Those found in two different texts are the recurring
-    passages; the count is one aggregation with partial sums, over hashes only.
-2.  Texts with recurring passages are dealt out by row, with the passages of each.  A task
-    compiles the passages of one batch of texts at a time into an Aho-Corasick automaton (the
-    shards), streams the texts of that batch through it and so locates every occurrence;
-    windows around an occurrence that is their anchor are the ones that may repeat.
-3.  These windows, by 128-bit rolling hash, get the smallest id they start in.  A window is
+1.  Every text gives its anchors.  Those found in two different texts are counted in one
+    aggregation with partial sums, over hashes only.  Texts without one repeat nothing.
+2.  The other texts give the words of these phrases.  A phrase whose words stand in two different
+    texts is a confirmed passage.  Passages are dealt out to shards by the text they stand in
+    first, so that a text's passages are in few shards; there is a shard for each ``SHARD`` of them.
+3.  Each shard is compiled into an Aho-Corasick automaton, and every text with passages of the
+    shard is streamed through it, which locates all occurrences.  Windows around an occurrence
+    that is their anchor are the ones that may repeat.  A shard that many texts need is compiled
+    once for each ``UNIT`` of them, so no task gets all of them.
+4.  These windows, by 128-bit rolling hash, get the smallest id they start in.  A window is
     removed with all its words where that id is smaller than its own text's.
 
 Rows with the same words are judged through the one with the smallest id; no step lists pairs.
@@ -38,6 +41,8 @@ from tessera.plans.scratch import few, kept, staged
 
 WINDOW = 50
 PHRASE = 10
+#: Passages of a shard (and of the text that fills it), and texts streamed through one automaton.
+SHARD, UNIT = 4096, 2000
 
 #: Odd multipliers of the two rolling hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -131,43 +136,85 @@ def _scan(window: int, phrase: int):
     return work
 
 
-def _locate(window: int, phrase: int):
-    """Texts with their recurring anchors -> hashes of the windows that may repeat."""
+def _passages(window: int, phrase: int):
+    """``row, text, anchors`` -> the words of each anchor's phrase: ``anchor, words, d1``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(window, phrase)
+        for batch in batches:
+            anchors, phrases, texts = [], [], []
+            for d1, value, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                found = value.as_py().split()
+                grams, at = reader.phrases(reader.words(found))
+                places = np.unique(at)
+                places = places[np.isin(grams[places], wanted.values.to_numpy().view(np.uint64))]
+                anchors.append(grams[places].view(np.int64))
+                phrases += [b" ".join(found[i : i + phrase]) for i in places.tolist()]
+                texts.append(np.full(len(places), d1.as_py(), np.int64))
+            if anchors:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(phrases, pa.binary()), pa.array(np.concatenate(texts))], ["anchor", "words", "d1"])
+
+    return work
+
+
+class Automaton:
+    """The passages of a shard; finds the words at which any of them begins."""
 
-    def occurrences(automaton: ahocorasick.Automaton, found: list[bytes]) -> np.ndarray:
-        """Which words begin an occurrence of any phrase of the automaton."""
-        text = " " + b" ".join(found).decode("latin-1") + " "
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        hits = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-        begins = np.zeros(len(found), bool)
-        begins[np.searchsorted(ends, hits) - phrase + 1] = True
-        return begins
+    def __init__(self, phrase: int) -> None:
+        self.phrase, self.machine = phrase, ahocorasick.Automaton()
+
+    def add(self, words: bytes) -> None:
+        self.machine.add_word((b" " + words + b" ").decode("latin-1"), 1)
+
+    def compile(self) -> None:
+        self.machine.make_automaton()
+
+    def begins(self, found: list[bytes]) -> np.ndarray:
+        at = np.zeros(len(found), bool)
+        if self.machine.kind == ahocorasick.AHOCORASICK:
+            text = " " + b" ".join(found).decode("latin-1") + " "
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+            hits = np.fromiter((end for end, _ in self.machine.iter(text)), np.int64)
+            at[np.searchsorted(ends, hits) - self.phrase + 1] = True
+        return at
+
+
+def _locate(window: int, phrase: int):
+    """``shard, part, doc_id, row, text`` in order of shard and part, passages (without a row)
+    before texts -> the windows of each text that may repeat, by the shard's passages."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(window, phrase)
+        unit, automaton, compiled = None, Automaton(phrase), False
         for batch in batches:
-            texts = [value.as_py().split() for value in batch.column(2)]
-            automaton = ahocorasick.Automaton()
-            hashed = []
-            for found, wanted in zip(texts, batch.column(3), strict=True):
+            ids, rows, starts, one, two = [], [], [], [], []
+            for shard, part, doc_id, row, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, part) != unit:
+                    unit, automaton, compiled = (shard, part), Automaton(phrase), False
+                if row is None:
+                    automaton.add(value)
+                    continue
+                if not compiled:
+                    automaton.compile()
+                    compiled = True
+                found = value.split()
+                hits = automaton.begins(found)
+                if not hits.any():
+                    continue
                 hashes = reader.words(found)
-                grams, at = reader.phrases(hashes)
-                hashed.append((hashes, at))
-                for i in np.unique(at[np.isin(grams[at], wanted.values.to_numpy().view(np.uint64))]).tolist():
-                    automaton.add_word((b" " + b" ".join(found[i : i + phrase]) + b" ").decode("latin-1"), 1)
-            if not len(automaton):
-                continue
-            automaton.make_automaton()
-            starts, one, two = [], [], []
-            for found, (hashes, at) in zip(texts, hashed, strict=True):
-                may = np.flatnonzero(occurrences(automaton, found)[at])
+                _, at = reader.phrases(hashes)
+                may = np.flatnonzero(hits[at])
                 a, b = reader.windows(hashes)
+                ids.append(doc_id)
+                rows.append(row)
                 starts.append(may.astype(np.int32))
                 one.append(a[may].view(np.int64))
                 two.append(b[may].view(np.int64))
+            if not ids:
+                continue
             ends = np.concatenate(([0], np.cumsum([len(s) for s in starts]))).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (starts, one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], ["doc_id", "row", "text", "starts", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), *lists], ["doc_id", "row", "starts", "h1", "h2"])
 
     return work
 
@@ -191,7 +238,7 @@ def _remove(window: int):
     return work
 
 
-def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, unit: int = UNIT) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row; ``kept`` holds the words
     that are left, null where the text keeps all or nothing."""
     frame = Frame(documents)
@@ -207,17 +254,30 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     copies = named.select("doc_id", "row", "d1", "d2").join(low, ["d1", "d2"]).where("doc_id > low").select("doc_id", "row").distinct().withColumn("copy", F.lit(True))
 
     pairs = named.select("doc_id", "row", "d1", F.explode("anchors").alias("anchor"))
-    recurring = pairs.groupBy("anchor").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("anchor")
-    wanted = kept(
-        pairs.join(staged(few(recurring), "recurring"), "anchor")
-        .groupBy("doc_id", "row")
-        .agg(F.collect_set("anchor").alias("anchors"))
+    recurring = pairs.groupBy("anchor").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("doc_id").alias("first")).where("a <> b").select("anchor", "first")
+    recurring = staged(few(recurring), "recurring")
+    shards = max(1, -(-recurring.count() // shard))
+    recurring = recurring.select("anchor", F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard"))
+    wanted = (
+        pairs.join(recurring, "anchor")
+        .groupBy("doc_id", "row", "d1")
+        .agg(F.collect_set("anchor").alias("anchors"), F.collect_set("shard").alias("shards"))
         .join(copies, ["doc_id", "row"], "left_anti")
     )
-    texts = maybe_in(docs, wanted, ["doc_id", "row"]).join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
-    located = kept(
-        map_batches(texts, _locate(window, phrase), "doc_id long, row long, text binary, starts array<int>, h1 array<long>, h2 array<long>", 500)
+    wanted = kept(wanted)
+    texts = kept(maybe_in(docs, wanted, ["doc_id", "row"]).join(wanted, ["doc_id", "row"]).select("doc_id", "row", "d1", "text", "anchors", "shards"))
+
+    phrases = map_batches(texts.select("d1", "text", "anchors"), _passages(window, phrase), "anchor long, words binary, d1 long", 500)
+    confirmed = phrases.groupBy("anchor", "words").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("anchor", "words")
+    passages = confirmed.join(recurring, "anchor").select("shard", "words")
+    each = texts.select("doc_id", "row", "text", F.explode("shards").alias("shard"))
+    parts = staged(few(wanted.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("parts"))), "units")
+    streamed = each.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int").alias("part"), "doc_id", "row", "text")
+    compiled = passages.join(parts, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.col("words").alias("text")
     )
+    dealt = compiled.unionByName(streamed).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("row").isNotNull())
+    located = kept(map_batches(dealt, _locate(window, phrase), "doc_id long, row long, starts array<int>, h1 array<long>, h2 array<long>"))
     windows = located.select("doc_id", "row", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("doc_id", "row", "w.starts", "w.h1", "w.h2")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     repeated = (
@@ -227,7 +287,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, phrase: int = PHRAS
         .agg(F.collect_list("starts").alias("starts"))
     )
     cut = map_batches(
-        located.select("doc_id", "row", "text").join(repeated, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]),
+        texts.select("doc_id", "row", "text").join(repeated, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]),
         _remove(window),
         "doc_id long, row long, n_removed long, kept_sha string, kept binary",
         500,

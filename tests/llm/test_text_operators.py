@@ -439,14 +439,14 @@ def test_exchange_raises_likelihood():
 # -- substrings -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("window", "phrase"), [(50, 10), (12, 4)])
-def test_substrings(docs, empty, window, phrase):
+@pytest.mark.parametrize(("window", "phrase", "shard", "unit"), [(50, 10, substring.SHARD, substring.UNIT), (12, 4, 5, 3)])
+def test_substrings(docs, empty, window, phrase, shard, unit):
     texts = {i: (t or "").encode().split() for i, t in unique(docs).items()}
     first = {}
     for i in sorted(texts):
         for p in range(len(texts[i]) - window + 1):
             first.setdefault(tuple(texts[i][p : p + window]), i)
-    got = substring.deduplicated(docs, window, phrase).collect()
+    got = substring.deduplicated(docs, window, phrase, shard, unit).collect()
     assert len(got) == len(corpus())
     for r in got:
         w = texts[r["doc_id"]]
@@ -457,6 +457,16 @@ def test_substrings(docs, empty, window, phrase):
     assert substring.deduplicated(empty).count() == 0
 
 
+def test_passages_are_found_by_their_automaton():
+    machine = substring.Automaton(2)
+    found = b"a b ab a bb a b".split()
+    assert not machine.begins(found).any()
+    machine.add(b"a b")
+    machine.add(b"ab a")
+    machine.compile()
+    assert machine.begins(found).tolist() == [True, False, True, False, False, True, False]
+
+
 def test_substrings_of_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(None, text), (2, text), (1, text), (1, text)], "doc_id long, text string")
