@@ -394,19 +394,46 @@ def test_bpe_decoder_state(tokenizer):
 # -- language model ---------------------------------------------------------------------------------------------------------
 
 
-def test_language_model(docs, empty):
-    got = lm.scored(docs, head=40, tails=16, classes=8, known=100).collect()
+def test_language_model(spark, docs, empty):
+    options = {"head": 40, "tails": 16, "classes": 8, "known": 100}
+    got = lm.scored(docs, **options).collect()
     rows = [(r[0], (r[1] or "").encode().lower().split() + [b""]) for r in corpus()]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    counts = collections.Counter(w for i, t in rows if not held[i] for w in t)
+    train = [t for i, t in rows if not held[i]]
+    counts = collections.Counter(w for t in train for w in t)
     n, v = sum(counts.values()), len(counts)
     texts = dict(rows)
+    # The model by brute force, from the classes that training gives.
+    table = spark.createDataFrame(corpus(), DOCS).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    trained = lm.train(table.where(~lm.held_out(F.col("doc_id"))).select("text"), **options)
+    classes = {r["wid"]: r["cls"] for r in trained.words.collect()}
+    assert classes.keys() == {lm.wid(w) for w in counts} and classes[lm.wid(b"")] == 0 and sum(c == 0 for c in classes.values()) == 1
+    assert len(set(classes.values())) == 8
+
+    def cls(w):
+        return classes.get(lm.wid(w), trained.model.seeds(w))
+
+    bigrams = collections.Counter((cls(a), cls(b)) for t in train for a, b in zip([b"", *t], t, strict=False))
+    left = collections.Counter()
+    for (a, _), k in bigrams.items():
+        left[a] += k
+    tokens, types = collections.Counter(), collections.Counter()
+    for w, c in counts.items():
+        tokens[cls(w)] += c
+        types[cls(w)] += 1
+
+    def brute(t):
+        return sum(
+            math.log10((bigrams[cls(a), cls(b)] + lm.LAMBDA) / (left[cls(a)] + lm.LAMBDA * 8)) + math.log10((counts[b] + 1) / (tokens[cls(b)] + types[cls(b)] + 1))
+            for a, b in zip([b"", *t], t, strict=False)
+        )
+
     assert len(got) == len(rows)
     for r in got:
         t = texts[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(counts[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        assert r["score"] < 0
+        assert r["score"] == pytest.approx(brute(t), rel=1e-9)
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert lm.scored(empty).count() == 0
 
@@ -414,17 +441,39 @@ def test_language_model(docs, empty):
 def test_emissions_and_transitions_sum_to_one(docs):
     texts = docs.select(F.concat_ws(" ", "lang", "source", F.lit("a b a")).cast("binary").alias("text"))
     trained = lm.train(texts, head=5, tails=4, classes=3, known=5)
-    m = trained.model
-    words_ = {bytes(r["word"]): r["c"] for r in trained.counts.collect()}
-    units = lm.Units(m.units, m.tails)
+    read = lm.read_texts(texts.select(F.lit(1).cast("long").alias("doc_id"), F.lit(True).alias("train"), "text"), trained)
+    step = lm.steps_of(lm.class_bigrams(read, 3), trained.types, trained.tokens)
+    words_ = trained.words.collect()
     for before in range(3):
-        total = 0.0
-        for k in range(3):
-            members = [w for w in words_ if m.cls[units[w]] == k]
-            total += sum(10 ** m.step[before, k] * (words_[w] + 1) for w in members) + 10 ** m.step[before, k]
+        total = sum(10 ** step[before, r["cls"]] * (r["c"] + 1) for r in words_) + sum(10 ** step[before, k] for k in range(3))
         assert total == pytest.approx(1.0)
 
 
+def test_words_move_to_the_class_that_raises_likelihood_most():
+    rng = np.random.default_rng(1)
+    n = rng.poisson(30, (5, 5)).astype(float)
+    gains = lm.Gains(n, small=2)
+    for _ in range(20):
+        # A word of class a that is counted in n already.
+        a = int(rng.integers(1, 5))
+        before, after = rng.integers(0, 4, 5), rng.integers(0, 4, 5)
+        before, after = np.minimum(before, n[:, a]), np.minimum(after, n[a, :])
+
+        def moved(c, a=a, before=before, after=after):
+            m = n.copy()
+            m[:, a] -= before
+            m[a, :] -= after
+            m[:, c] += before
+            m[c, :] += after
+            return lm.likelihood(m)
+
+        events = [(k, x) for k, x in enumerate([*before, *after]) if x]
+        code, count = (np.array(x, np.int64) for x in zip(*events, strict=True))
+        got = int(gains.best(np.zeros(len(code), np.int64), code, count, np.array([a]))[0])
+        # The change of a cell both sides touch is of second order.
+        assert moved(got) >= moved(a) - 1.5 and moved(got) >= max(map(moved, range(1, 5))) - 3
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(0)
     # Two kinds of units that follow each other.
