@@ -179,8 +179,13 @@ def mark_failed(samples: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def representatives(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Adds ``rn`` within each value of ``by``; 1 is the representative."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    """Adds ``representative``, the least ``order`` of each value of ``by``.
+
+    A least value is a partial sum in every task, so a value that most rows have goes to no task
+    as a whole; the way back is a join that can be split.
+    """
+    least = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(order).alias("representative"))
+    return rows.join(least, by, "left").withColumn("representative", F.coalesce("representative", order))
 
 
 def twins(new: DataFrame, samples: DataFrame, embedding: bool) -> DataFrame:
@@ -214,7 +219,7 @@ def embedded(samples: DataFrame) -> DataFrame:
 
 def with_paths(samples: DataFrame, roots: DataFrame) -> DataFrame:
     """Samples with their absolute path and whether they have a vector."""
-    joined = samples.join(F.broadcast(roots.select(F.col("id").alias("root_id"), F.col("path").alias("root_path"))), "root_id")
+    joined = samples.join(roots.select(F.col("id").alias("root_id"), F.col("path").alias("root_path")), "root_id")
     return joined.withColumn("absolute_path", F.concat_ws("/", "root_path", "rel_path")).withColumn("embedded", F.col("vector_id").isNotNull())
 
 
@@ -231,7 +236,7 @@ def detail(samples: DataFrame, features: DataFrame, roots: DataFrame, tags: Data
 
 
 def checked_vectors(vectors: DataFrame, width: int) -> DataFrame:
-    """Vectors of the right width, through half precision as they are stored."""
+    """Vectors of the right width; others are an error."""
     wrong = F.size("v") != width
     return vectors.withColumn("v", F.when(wrong, F.raise_error(F.concat(F.lit(f"a vector is not {width} wide: "), F.size("v").cast("string")))).otherwise(F.col("v")))
 
@@ -315,7 +320,10 @@ def edit_tag(tags: DataFrame, tag_id: int, name: str | None = None, **color: str
     require(tags, F.col("id") == tag_id, f"tag {tag_id}")
     mine = F.col("id") == tag_id
     if name is not None:
-        tags = tags.withColumn("name", F.when(mine, F.lit(named(name, "tag"))).otherwise(F.col("name")))
+        wanted = named(name, "tag")
+        if not tags.where(~mine & (ascii_fold(F.col("name")) == ascii_fold(F.lit(wanted)))).limit(1).isEmpty():
+            raise Invalid(f"there is a tag {wanted}")
+        tags = tags.withColumn("name", F.when(mine, F.lit(wanted)).otherwise(F.col("name")))
     if "color" in color:
         tags = tags.withColumn("color", F.when(mine, F.lit(color["color"]).cast("string")).otherwise(F.col("color")))
     return tags
@@ -443,6 +451,26 @@ def set_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
     return replace(settings, settings.sparkSession.createDataFrame([(key, value)], schema("app_settings")), ["key"])
 
 
+# -- keyed lookups ------------------------------------------------------------------------------------------
+
+
+def tag_id(tags: DataFrame, name: str) -> DataFrame:
+    """The id of a tag by name, however it is written."""
+    return tags.where(ascii_fold(F.col("name")) == ascii_fold(F.lit(name.strip()))).select("id")
+
+
+def member_ids(members: DataFrame, collection_id: int) -> DataFrame:
+    """The samples of a collection in its order."""
+    return members.where(F.col("collection_id") == collection_id).orderBy("position").select("sample_id", "position")
+
+
+def tags_of(tags: DataFrame, sample_tags: DataFrame) -> DataFrame:
+    """``sample_id, tags``: the names of each sample's tags, by name whatever the case (C4)."""
+    named_ = sample_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    listed = F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name")))
+    return named_.groupBy("sample_id").agg(F.transform(listed, lambda s: s["name"]).alias("tags"))
+
+
 def gain(settings: DataFrame) -> float:
     """The stored gain; 1 where it is missing or no finite number from 0."""
     row = settings.where(F.col("key") == "gain").select("value").first()

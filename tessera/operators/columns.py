@@ -152,22 +152,9 @@ def moments(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.posexplode(scalar.doubles(F.col("v"))).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"), scalar.safe_std(F.stddev_pop("x")).alias("std"))
 
 
-def covariance(vectors: DataFrame) -> DataFrame:
-    """Upper triangle ``i, j, cov`` (n-1) by a centred second pass."""
-    mean = F.broadcast(
-        vectors.select(F.posexplode(scalar.doubles(F.col("v"))).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean")
-        )
-    )
-    centred = vectors.crossJoin(mean).select(F.zip_with(scalar.doubles(F.col("v")), "mean", lambda x, m: x - m).alias("c"))
-    left = centred.select("c", F.posexplode("c").alias("i", "a"))
-    pairs = left.select("i", "a", F.posexplode(F.expr("slice(c, i + 1, size(c))")).alias("k", "b"))
-    return pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg((F.sum(F.col("a") * F.col("b")) / (F.count(F.lit(1)) - 1)).alias("cov"))
-
-
-def repeats_summary(df: DataFrame, column: str) -> DataFrame:
-    """Mean, least and largest over repeats."""
-    return df.agg(F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
+def repeats_summary(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean, least and largest over repeats, of each key if there are any."""
+    return df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
 
 
 def flux(frames: DataFrame) -> DataFrame:
@@ -176,6 +163,21 @@ def flux(frames: DataFrame) -> DataFrame:
     return frames.withColumn("flux", F.coalesce(F.greatest(F.col("value") - F.lag("value").over(order), F.lit(0.0)), F.lit(0.0)))
 
 
+def onsets(series: DataFrame, gap: int = 5) -> DataFrame:
+    """Candidates at least ``gap`` frames behind the onset before them (G8): ``key, pos, value``.
+
+    Which candidate is kept depends on the one kept before it, so a series is folded in order.
+    """
+    found = onset_candidates(series).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("c"))
+    first = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(dict(found.dtypes)["c"]).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        take = s["last"].isNull() | (x["pos"] - s["last"] >= gap)
+        return F.struct(F.when(take, x["pos"].cast("long")).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
+
+    return found.select("key", F.explode(F.aggregate("c", first, step, lambda s: s["kept"])).alias("o")).select("key", "o.pos", "o.value")
+
+
 def onset_candidates(series: DataFrame) -> DataFrame:
     """Local maxima over 1.5 times the mean of +-10 frames and half the mean of all (G8, before
     the gap rule): ``key, pos, value``."""

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import tokens_of
+from tessera.plans.scratch import kept
 from tessera.plans.ship import ensure
 
 OPERATORS = ("AND", "OR", "NOT")
@@ -134,14 +135,16 @@ def _folded(s: pd.Series) -> pd.Series:
 def postings(docs: DataFrame, fields: list[str], accents: bool = True) -> DataFrame:
     """``doc_id, field, pos, token``: runs of letters and digits, folded.
 
-    Texts of ASCII only are folded in the JVM; without ``accents`` all are.
+    Texts of ASCII only are folded in the JVM and go through no Python code but as nulls; without
+    ``accents`` all are.
     """
     parts = []
     for i, name in enumerate(fields):
         text = F.coalesce(F.col(name), F.lit(""))
         if accents:
             ensure(docs.sparkSession)
-            text = F.pandas_udf(_folded, "string")(text)
+            other = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+            text = F.coalesce(F.pandas_udf(_folded, "string")(other), F.lower(text))
         parts.append(docs.select("doc_id", F.lit(i).alias("field"), F.posexplode(tokens_of(text)).alias("pos", "token")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -153,26 +156,42 @@ def searched_text(samples: DataFrame, tags: DataFrame) -> DataFrame:
     return samples.join(joined, "sample_id", "left").select(F.col("sample_id").alias("doc_id"), "filename", F.col("rel_path").alias("path"), F.coalesce(text, F.lit("")).alias("tags"))
 
 
-def _hits(index: DataFrame, term: Term) -> DataFrame:
-    """``doc_id, field, pos`` where a term begins."""
-    folded = [fold(t) for t in term.tokens]
-    found: DataFrame | None = None
-    for i, token in enumerate(folded):
-        last = i == len(folded) - 1
-        match = F.col("token").startswith(token) if last and term.prefix else F.col("token") == token
-        here = index.where(match).select("doc_id", "field", (F.col("pos") - i).alias("pos"))
-        found = here if found is None else found.join(here, ["doc_id", "field", "pos"], "left_semi")
-    return found
+def _counts(index: DataFrame, wanted: list[Term], every: bool) -> DataFrame:
+    """``doc_id, n0, n1, ...``: how often each term begins in a text, from one reading of the index
+    and one aggregation; with ``every`` also ``len``, and texts without any of the terms."""
+    columns, places, here = [], [], F.lit(False)
+    for i, term in enumerate(wanted):
+        folded = [fold(t) for t in term.tokens]
+        chain = None
+        for k, token in enumerate(folded):
+            match = F.col("token").startswith(token) if k == len(folded) - 1 and term.prefix else F.col("token") == token
+            here = here | match
+            columns.append(F.collect_list(F.when(match, F.col("pos") - k)).alias(f"p{i}_{k}"))
+            found = F.col(f"p{i}_{k}")
+            chain = found if chain is None else F.array_intersect(chain, found)
+        places.append(F.size(chain).alias(f"n{i}"))
+    length = [F.count(F.lit(1)).alias("len")] if every else []
+    rows = (index if every else index.where(here)).groupBy("doc_id", "field").agg(*columns, *length)
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(wanted))]
+    per_field = rows.select("doc_id", *places, *(["len"] if every else []))
+    return per_field.groupBy("doc_id").agg(*sums, *([F.sum("len").alias("len")] if every else []))
+
+
+def _condition(query: Node | Term, order: dict[int, int]) -> Column:
+    if isinstance(query, Term):
+        return F.col(f"n{order[id(query)]}") > 0
+    left, right = _condition(query.left, order), _condition(query.right, order)
+    return left | right if query.op == "OR" else left & right if query.op == "AND" else left & ~right
+
+
+def _leaves(query: Node | Term) -> list[Term]:
+    return [query] if isinstance(query, Term) else _leaves(query.left) + _leaves(query.right)
 
 
 def matching(index: DataFrame, query: Node | Term) -> DataFrame:
-    """Distinct ``doc_id`` that match: AND is a semi join, NOT an anti join, OR a union."""
-    if isinstance(query, Term):
-        return _hits(index, query).select("doc_id").distinct()
-    left, right = matching(index, query.left), matching(index, query.right)
-    if query.op == "OR":
-        return left.unionByName(right).distinct()
-    return left.join(right, "doc_id", "left_semi" if query.op == "AND" else "left_anti")
+    """Distinct ``doc_id`` that match: the index is read once, however many terms there are."""
+    leaves = _leaves(query)
+    return _counts(index, leaves, False).where(_condition(query, {id(t): i for i, t in enumerate(leaves)})).select("doc_id")
 
 
 def terms(query: Node | Term) -> list[Term]:
@@ -187,18 +206,18 @@ def ranked(index: DataFrame, query: Node | Term, n_docs: int | None = None, limi
 
     ``n_docs`` is the number of indexed texts, those without tokens included.
     """
-    lengths = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("len"))
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens"))
+    leaves = _leaves(query)
+    order = {id(t): i for i, t in enumerate(leaves)}
+    counts = kept(_counts(index, leaves, True))
+    scored = [order[id(t)] for t in terms(query)]
+    facts = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in scored))
+    both = counts.where(_condition(query, order)).crossJoin(F.broadcast(facts))  # one row of counts
     every = F.lit(n_docs).cast("double") if n_docs is not None else F.col("n").cast("double")
-    scores = []
-    for term in terms(query):
-        tf = _hits(index, term).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.agg(F.count(F.lit(1)).alias("df"))
-        facts = F.broadcast(total.crossJoin(df))  # one row of counts
-        idf = F.log((every - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        share = K1 * (1 - B + B * F.col("len") / (F.col("tokens") / every))
-        scores.append(tf.join(lengths, "doc_id").crossJoin(facts).select("doc_id", (-idf * F.col("tf") * (K1 + 1) / (F.col("tf") + share)).alias("s")))
-    summed = reduce(DataFrame.unionByName, scores).groupBy("doc_id").agg(F.sum("s").alias("rank"))
-    found = summed.join(matching(index, query), "doc_id", "left_semi").orderBy("rank", "doc_id")
+    share = K1 * (1 - B + B * F.col("len") / (F.col("tokens") / every))
+    rank = F.lit(0.0)
+    for i in scored:
+        idf = F.log((every - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        tf = F.col(f"n{i}")
+        rank = rank - F.when(tf > 0, F.when(idf <= 0, FLOOR).otherwise(idf) * tf * (K1 + 1) / (tf + share)).otherwise(0.0)
+    found = both.select("doc_id", rank.alias("rank")).orderBy("rank", "doc_id")
     return found if limit is None else found.limit(limit)

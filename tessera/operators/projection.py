@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
@@ -65,6 +65,17 @@ def _partials(data: DataFrame, width: int, mean: np.ndarray | None) -> tuple[int
     return (sums["n"][0].as_py() if len(sums) else 0), sums["s"].to_numpy()
 
 
+def covariance(data: DataFrame) -> DataFrame:
+    """Upper triangle ``i, j, cov`` (n-1) of ``v``, by a centred second pass (D7): one row of
+    partial sums for each partition, whatever the number of vectors."""
+    width = data.agg(F.max(F.size("v")).alias("w")).first()["w"] or 0
+    n, total = _partials(data, width, None)
+    if n < 2:
+        return data.sparkSession.createDataFrame([], "i int, j int, cov double")
+    outer = _partials(data, width, total / n)[1].reshape(width, width) / (n - 1)
+    return data.sparkSession.createDataFrame([(i, j, float(outer[i, j])) for i in range(width) for j in range(i, width)], "i int, j int, cov double")
+
+
 def principal_axes(cov: np.ndarray, k: int = 2) -> np.ndarray:
     """Largest axes first; one with almost no variance is zero; the component of largest
     magnitude is positive (E10)."""
@@ -310,10 +321,9 @@ def plan(total: int, placed: int | None) -> tuple[str, int]:
 def fan_out(rows: DataFrame, fitted: DataFrame, extent: float) -> DataFrame:
     """Coordinates of all samples from those of their distinct vectors: the first has them
     exactly, the others moved a little (I13, C15)."""
-    order = Window.partitionBy("vector_id").orderBy("sample_id")
-    placed = rows.withColumn("rn", F.row_number().over(order)).join(fitted.withColumnRenamed("id", "vector_id"), "vector_id")
+    placed = catalog.representatives(rows, "vector_id", "sample_id").join(fitted.withColumnRenamed("id", "vector_id"), "vector_id")
     dx, dy = scalar.jitter(F.col("sample_id"), F.lit(extent))
-    first = F.col("rn") == 1
+    first = F.col("sample_id") == F.col("representative")
     colours = [c for c in ("r", "g", "b") if c in fitted.columns]
     return placed.select("sample_id", F.when(first, F.col("x")).otherwise(F.col("x") + dx).alias("x"), F.when(first, F.col("y")).otherwise(F.col("y") + dy).alias("y"), F.col("z"), *colours)
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,34 @@ def content_hash(content: bytes) -> bytes:
     return hashlib.sha256(b"sampled" + struct.pack("<Q", len(content)) + content[:SPAN_BYTES] + content[-SPAN_BYTES:]).digest()
 
 
+#: Spark reads no file beyond this into a row.
+READABLE_BYTES = (1 << 31) - 1
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of the named files and no others; what can not be read is left out."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    read = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    try:
+        return read.load(paths).select("path", "content")
+    except AnalysisException:  # a file is gone since it was listed
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        there = [p for p in paths if (where := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(where)]
+        return contents(spark, there) if len(there) < len(paths) else read.load(paths).select("path", "content")
+
+
+def hashes(files: DataFrame) -> DataFrame:
+    """``rel_path, content`` -> ``rel_path, content_hash``, in the stage that reads the files."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rel_path": batch["rel_path"], "content_hash": [content_hash(bytes(c)) for c in batch["content"]]})
+
+    ensure(files.sparkSession)
+    return files.select("rel_path", "content").mapInPandas(work, "rel_path string, content_hash binary")
+
+
 class DecodeError(ValueError):
     pass
 
@@ -243,7 +272,7 @@ def export_paths(members: DataFrame, samples: DataFrame, roots: DataFrame, colle
     rows = (
         members.where(F.col("collection_id") == collection_id)
         .join(samples.select(F.col("id").alias("sample_id"), "root_id", "rel_path"), "sample_id")
-        .join(F.broadcast(roots.select(F.col("id").alias("root_id"), "path")), "root_id")
+        .join(roots.select(F.col("id").alias("root_id"), "path"), "root_id")
         .orderBy("position")
         .select(F.concat_ws("/", "path", "rel_path").alias("line"))
     )

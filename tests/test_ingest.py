@@ -74,6 +74,62 @@ def test_scan(library):
     assert new["low/thud.wav"]["vector_id"] not in (None, rows["low/thud.wav"]["vector_id"])
     with pytest.raises(schemas.NotFound):
         ingest.scan_root(store, 9, 1)
+    assert [r["status"] for r in store.read("scan_runs").orderBy("id").collect()] == ["completed"] * 3
+
+
+def test_scan_copies_twins_of_earlier_scans(library, monkeypatch):
+    store, root = library
+    ingest.scan_root(store, 1, 10)
+    before = {r["rel_path"]: r for r in store.read("samples").collect()}
+    (root / "again.wav").write_bytes((root / "high/pair.wav").read_bytes())
+    read = []
+    whole = audio.contents
+    monkeypatch.setattr(audio, "contents", lambda spark, paths: read.append(sorted(p.rsplit("/", 1)[1] for p in paths)) or whole(spark, paths))
+    assert ingest.scan_root(store, 1, 20)["added"] == 1
+    # Only the new file and the one that failed are read, and no known content is analysed again.
+    assert read == [["again.wav", "bad.wav"], ["bad.wav"]]
+    after = {r["rel_path"]: r for r in store.read("samples").collect()}
+    for c in ("vector_id", "status", "duration_ms", "sample_rate", "channels", "content_hash"):
+        assert after["again.wav"][c] == before["high/pair.wav"][c], c
+    assert store.read("vectors").count() == 2
+    blocks = {r["sample_id"]: r for r in store.read("sample_features").collect()}
+    assert blocks[after["again.wav"]["id"]]["bpm"] == blocks[after["high/pair.wav"]["id"]]["bpm"]
+
+
+def test_scan_keeps_what_it_finished_before_it_was_cancelled(library):
+    store, _ = library
+    asked = []
+
+    def cancelled():
+        asked.append(store.read("scan_runs").select("status").first()[0])
+        return len(asked) > 1
+
+    got = ingest.scan_root(store, 1, 10, cancelled=cancelled, batch=2)
+    assert asked[0] == "running" and got["seen"] == 4 and got["added"] + got["failed"] == 2
+    run = store.read("scan_runs").first()
+    assert (run["status"], run["files_seen"], run["files_added"] + run["files_failed"]) == ("cancelled", 4, 2)
+    assert store.read("samples").count() == 2
+    rest = ingest.scan_root(store, 1, 20, batch=1)
+    assert store.read("samples").count() == 4 and rest["failed"] == 1
+    rows = {r["rel_path"]: r for r in store.read("samples").collect()}
+    assert rows["low/thud.wav"]["vector_id"] == rows["low/copy.WAV"]["vector_id"] is not None
+
+
+def test_files_that_can_not_be_read_are_rows(library, monkeypatch):
+    store, root = library
+    listed = audio.listed
+
+    def vanishing(spark, folder):
+        rows = listed(spark, folder).collect()
+        (root / "low/thud.wav").unlink()
+        return spark.createDataFrame(rows, listed(spark, folder).schema)
+
+    monkeypatch.setattr(audio, "listed", vanishing)
+    monkeypatch.setattr(audio, "READABLE_BYTES", 150_000)
+    got = ingest.scan_root(store, 1, 10)
+    rows = {r["rel_path"]: r for r in store.read("samples").collect()}
+    assert got["failed"] == 3 and got["added"] == 1
+    assert rows["low/thud.wav"]["error"] == rows["high/pair.wav"]["error"] == "the file can not be read"
 
 
 def test_refit(spark, tmp_path):
@@ -134,7 +190,7 @@ def test_streams(spark, tmp_path):
     bursts = ingest.debounced(ingest.file_stream(spark, str(tmp_path / "in"), rows.schema), "ts", "k", "2 seconds", "id", "1 second")
     ingest.persist_batches(bursts, lambda df, i: got.extend(df.collect()), str(tmp_path / "c2")).awaitTermination(120)
     assert {r["n"] for r in got} == {1}
-    assert ingest.progress(rows.where("id < 5").withColumn("k", F.lit(1)), "ts", "k", "2 seconds").count() == 1
+    assert ingest.progress(rows.where("id < 5").withColumn("k", F.lit(1)), "ts", "k", "hash", "2 seconds").count() == 4
 
 
 def test_jobs(spark):
