@@ -15,6 +15,7 @@ from tessera.functions import scalar
 from tessera.operators import catalog, columns, filters, fulltext, projection, vectors
 from tessera.operators.components import connected_components
 from tessera.operators.filters import QueryFilter, Range, Tables
+from tessera.schemas import TABLES, complete, parse_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,10 +113,10 @@ def filter_normalized_ext(spark, sf):
     return filters.sample_ids(Tables(samples(spark, sf)), QueryFilter(exts=(" .FR", "..de ")))
 
 
-@query("select vec_id as sample_id from embeddings e where vec_id % 7 = 3 and not exists (select 1 from labels l where l.doc_id = e.vec_id)")
+@query("select vec_id as sample_id from embeddings e where not exists (select 1 from labels l where l.doc_id = e.vec_id)")
 def newcomers_anti(spark, sf):
     have = load(spark, sf, "labels").select(F.lit(1).cast("long").alias("run_id"), F.col("doc_id").alias("sample_id"))
-    rows = load(spark, sf, "embeddings").where("vec_id % 7 = 3").select(F.col("vec_id").alias("sample_id"))
+    rows = load(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"))
     return vectors.newcomers(rows, have, 1)
 
 
@@ -140,14 +141,15 @@ def count_zero_kept(spark, sf):
 
 @query("select conv_id, string_agg(distinct role, ' ' order by role) as roles from conversations group by conv_id")
 def ordered_string_agg(spark, sf):
-    c = load(spark, sf, "conversations").select("conv_id", "role").distinct()
-    listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.lower("role").alias("k"), "role"))).alias("t"))
-    return listed.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), " ").alias("roles"))
+    c = load(spark, sf, "conversations")
+    tagged = c.select(F.col("conv_id").alias("sample_id"), F.col("role").alias("name")).distinct()
+    rows = c.select(F.col("conv_id").alias("sample_id"), F.lit("f").alias("filename"), F.lit("p").alias("rel_path")).distinct()
+    return fulltext.searched_text(rows, tagged).select(F.col("doc_id").alias("conv_id"), F.col("tags").alias("roles"))
 
 
-@query("select source, lang, count(*) as n from documents group by all")
+@query("select lang as status, count(*) as n from documents group by all")
 def counts_by_status(spark, sf):
-    return load(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.counts(load(spark, sf, "documents").select(F.col("lang").alias("status")))
 
 
 @query("""
@@ -181,10 +183,10 @@ def upsert_coalesce(spark, sf):
     return catalog.upsert_samples(old, new, 5).select(F.col("rel_path").cast("long").alias("doc_id"), "duration_ms", "error")
 
 
-@query("select doc_id, row_number() over (partition by sha256(text) order by doc_id)::int as rn from documents")
+@query("select doc_id, min(doc_id) over (partition by sha256(text)) as representative from documents")
 def dedup_representative(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return catalog.representatives(d, "hash", "doc_id").select("doc_id", "rn")
+    return catalog.representatives(d, "hash", "doc_id").select("doc_id", "representative")
 
 
 @query("""
@@ -213,13 +215,13 @@ def incremental_skip(spark, sf):
 
 
 @query("""
-with s as (select q.vec_id as query_id, x.vec_id as id, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) as c from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id < 20),
+with s as (select q.vec_id as query_id, x.vec_id as id, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) as c from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by c desc, id)::int as rank from s)
 select query_id, id, rank, round(c, 6) + 0.0 as score from r where rank <= 5
 """)
 def cosine_topk(spark, sf):
     v = vecs(spark, sf)
-    return vectors.ranked_pairs(v.where("id < 20"), v, 5, scalar.cosine(F.col("q"), F.col("x"))).select("query_id", "id", "rank", r6(F.col("score"), "score"))
+    return vectors.ranked_pairs(v.where("id % 20 = 0"), v, 5, scalar.cosine(F.col("q"), F.col("x"))).select("query_id", "id", "rank", r6(F.col("score"), "score"))
 
 
 @query("""
@@ -231,18 +233,18 @@ def similar_one(spark, sf):
 
 
 @query("""
-with s as (select q.vec_id as query_id, x.vec_id as id, list_distance(q.embedding::double[], x.embedding::double[]) as d from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 25 = 1),
+with s as (select q.vec_id as query_id, x.vec_id as id, list_distance(q.embedding::double[], x.embedding::double[]) as d from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by d, id)::int as rank from s)
 select query_id, id, rank from r where rank <= 15
 """)
 def euclid_topk_partitioned(spark, sf):
     v = vecs(spark, sf)
-    return vectors.nearest(v.where("id % 25 = 1"), v, 15, "euclid").select("query_id", "id", "rank")
+    return vectors.nearest(v.where("id % 20 = 0"), v, 15, "euclid").select("query_id", "id", "rank")
 
 
 PLACED = """
 with s as (select q.vec_id as query_id, x.vec_id as id, list_distance(q.embedding::double[], x.embedding::double[]) as d, x.embedding[1]::double as x, x.embedding[2]::double as y
-  from embeddings q join embeddings x on x.vec_id % 10 <> 0 where q.vec_id % 10 = 0),
+  from embeddings q join embeddings x on x.vec_id % 20 <> 0 where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by d, id) as rank from s),
 """
 
@@ -254,8 +256,8 @@ r as (select *, row_number() over (partition by query_id order by d, id) as rank
 )
 def barycentre_placement(spark, sf):
     v = vecs(spark, sf)
-    anchors = v.where("id % 10 <> 0").withColumns({"x": F.col("v")[0].cast("double"), "y": F.col("v")[1].cast("double")})
-    near = vectors.nearest(v.where("id % 10 = 0"), anchors, 15, "euclid")
+    anchors = v.where("id % 20 <> 0").withColumns({"x": F.col("v")[0].cast("double"), "y": F.col("v")[1].cast("double")})
+    near = vectors.nearest(v.where("id % 20 = 0"), anchors, 15, "euclid")
     own = v.select(F.col("id").alias("query_id"), scalar.squared_norm(F.col("v")).alias("q2"))
     both = near.join(own, "query_id").withColumn("distance", F.sqrt(F.greatest(F.col("q2") - 2 * F.col("score"), F.lit(0.0)))).join(anchors.select("id", "x", "y"), "id")
     return vectors.barycentre(both).select(F.col("query_id").alias("id"), r6(F.col("x"), "x"), r6(F.col("y"), "y"))
@@ -289,7 +291,7 @@ c as (select vec_id, d, x - m as x from u join m using (d))
 select a.d::int as i, b.d::int as j, round(sum(a.x * b.x) / (count(*) - 1), 6) + 0.0 as cov from c a join c b on a.vec_id = b.vec_id and a.d <= b.d group by all
 """)
 def covariance_upper(spark, sf):
-    return columns.covariance(vecs(spark, sf)).select("i", "j", r6(F.col("cov"), "cov"))
+    return projection.covariance(vecs(spark, sf)).select("i", "j", r6(F.col("cov"), "cov"))
 
 
 @query()
@@ -297,36 +299,40 @@ def pca_project(spark, sf):
     return projection.Pca().fit_transform(vecs(spark, sf))
 
 
-@query("select 'incremental' as kind, 3::bigint as new where false union all select 'full', (select count(*) from embeddings)")
+@query("""
+with t as (select count(*) as total from embeddings), p as (select unnest([null, total, total - 1, 0, total // 2]) as placed, total from t)
+select case when placed is null then -1 else placed end as placed, case when placed is null then 'full' when placed >= total then 'up_to_date' when (total - placed) / total < 0.05 then 'incremental' else 'full' end as kind,
+case when placed is null then total else total - placed end as new from p
+""")
 def refit_plan(spark, sf):
-    kind, new = projection.plan(load(spark, sf, "embeddings").count(), None)
-    return spark.createDataFrame([(kind, new)], "kind string, new long")
+    total = load(spark, sf, "embeddings").count()
+    cases = (None, total, total - 1, 0, total // 2)
+    return spark.createDataFrame([(-1 if p is None else p, *projection.plan(total, p)) for p in cases], "placed long, kind string, new long")
 
 
 @query("""
-with recursive n as (select vec_id from embeddings where vec_id < 60),
-e as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id < 60 and b.vec_id < 60 and a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) > 0.35),
-c(node, label) as (select vec_id, vec_id from n union select e.b, c.label from c join e on e.a = c.node)
-select node, min(label) as component from c group by node having node in (select a from e)
+with recursive n as (select l_orderkey as a, l_partkey + 10000000 as b from lineitem where l_quantity >= 49),
+u as (select a, b from n union select b, a from n),
+c(node, label) as (select a, a from u union select u.b, c.label from c join u on u.a = c.node)
+select node, min(label) as component from c group by node
 """)
 def components(spark, sf):
-    v = vecs(spark, sf).where("id < 60")
-    a, b = v.select(F.col("id").alias("src"), F.col("v").alias("p")), F.broadcast(v.select(F.col("id").alias("dst"), F.col("v").alias("q")))
-    edges = a.join(b, F.col("src") < F.col("dst")).where(scalar.cosine(F.col("p"), F.col("q")) > 0.35).select("src", "dst")
+    """Orders and parts that large lines join up."""
+    edges = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000).alias("dst"))
     return connected_components(edges)
 
 
 @query("""
 with s as (select q.vec_id as query_id, x.vec_id as id, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) as c,
-  (q.embedding[1]::double - x.embedding[1]::double) ** 2 + (q.embedding[2]::double - x.embedding[2]::double) ** 2 as d from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 10 = 0),
+  (q.embedding[1]::double - x.embedding[1]::double) ** 2 + (q.embedding[2]::double - x.embedding[2]::double) ** 2 as d from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by c desc, id) as rc, row_number() over (partition by query_id order by d, id) as rd from s)
 select round(avg(case when rc <= 15 then 1.0 else 0.0 end), 6) + 0.0 as hit_rate from r where rd <= 5
 """)
 def hit_rate_at_k(spark, sf):
     v = vecs(spark, sf)
     flat = v.select("id", F.slice("v", 1, 2).alias("v"))
-    truth = vectors.ranked_pairs(v.where("id % 10 = 0"), v, 15, scalar.cosine(F.col("q"), F.col("x")))
-    spatial = vectors.ranked_pairs(flat.where("id % 10 = 0"), flat, 5, scalar.euclidean(F.col("q"), F.col("x")), best_first=False)
+    truth = vectors.ranked_pairs(v.where("id % 20 = 0"), v, 15, scalar.cosine(F.col("q"), F.col("x")))
+    spatial = vectors.ranked_pairs(flat.where("id % 20 = 0"), flat, 5, scalar.euclidean(F.col("q"), F.col("x")), best_first=False)
     return vectors.hit_rate(spatial, truth).select(r6(F.col("hit_rate"), "hit_rate"))
 
 
@@ -429,6 +435,17 @@ def onset_pick(spark, sf):
     return columns.onset_candidates(series(spark, sf))
 
 
+@query(
+    SERIES.replace("with s", "with recursive s")
+    + """, w as (select *, lag(value) over o as before, lead(value) over o as after, avg(value) over (partition by key order by pos rows between 10 preceding and 10 following) as local, avg(value) over (partition by key) as whole
+from s window o as (partition by key order by pos)), c as (select key, pos, value from w where value > before and value >= after and value > 1.5 * local and value > 0.5 * whole),
+k(key, pos) as (select key, min(pos) from c group by key union all select k.key, (select min(c.pos) from c where c.key = k.key and c.pos >= k.pos + 5) from k where exists (select 1 from c where c.key = k.key and c.pos >= k.pos + 5))
+select c.* from c join k using (key, pos)"""
+)
+def onset_gap(spark, sf):
+    return columns.onsets(series(spark, sf))
+
+
 @query(SERIES + " select key, pos, round(coalesce(greatest(value - lag(value) over (partition by key order by pos), 0.0), 0.0), 6) + 0.0 as flux from s")
 def flux_rectified(spark, sf):
     return columns.flux(series(spark, sf)).select("key", "pos", r6(F.col("flux"), "flux"))
@@ -450,11 +467,15 @@ def db_levels(spark, sf):
     return vecs(spark, sf).select("id", r6(scalar.peak_db(F.col("v")), "peak_db"), r6(scalar.rms_db(F.col("v")), "rms_db"))
 
 
-@query("select user_id, day, arg_max(value, (ts, event_id)) as last from (select *, time_bucket(interval '1 day', ts) as day from events) group by all")
+@query("""
+with d as (select user_id, time_bucket(interval '1 day', ts) as "at", arg_max(event_type, (ts, event_id)) as newest from events group by all),
+b as (select *, lag(newest) over (partition by user_id order by "at") as previous from d)
+select user_id, "at", newest as last from b where previous is null or previous <> newest
+""")
 def progress_tumbling(spark, sf):
-    e = load(spark, sf, "events")
-    last = e.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"))
-    return last.select("user_id", F.col("w.start").alias("day"), "last")
+    from tessera.streaming.ingest import progress
+
+    return progress(load(spark, sf, "events"), "ts", "event_type", "user_id", "1 day", ("event_id",))
 
 
 @query("""
@@ -468,10 +489,9 @@ def debounce_session(spark, sf):
     return debounced(load(spark, sf, "events"), "ts", "user_id", "6 hours", "value").select("user_id", "start", "n")
 
 
-@query("select user_id, min(value) as least, max(value) as most, round(avg(value), 6) + 0.0 as mean from events where user_id = 7 group by all")
+@query("select user_id, min(value) as least, max(value) as most, round(avg(value), 6) + 0.0 as mean from events group by all")
 def repeats_summary(spark, sf):
-    e = load(spark, sf, "events").where("user_id = 7")
-    return columns.repeats_summary(e, "value").select(F.lit(7).cast("long").alias("user_id"), "least", "most", r6(F.col("mean"), "mean"))
+    return columns.repeats_summary(load(spark, sf, "events"), "value", ("user_id",)).select("user_id", "least", "most", r6(F.col("mean"), "mean"))
 
 
 # -- full text --------------------------------------------------------------------------------------------------
@@ -601,3 +621,310 @@ def fit_colour_fallback(spark, sf):
     p = points(spark, sf).where("run_id = 1").join(load(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), "quality"), "sample_id", "left")
     half = F.when(F.col("quality").isNotNull(), 0.5)
     return columns.fitted_colours(p.select("sample_id", *(half.alias(c) for c in "rgb"))).select("sample_id", "r")
+
+
+# -- changes of the catalogue ----------------------------------------------------------------------------------------
+
+
+def customers(spark, sf) -> DataFrame:
+    """Customers as samples: a status by segment, a vector where the balance is positive."""
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "pending").when(F.col("c_acctbal") > 0, "embedded").otherwise("decoded")
+    return load(spark, sf, "customer").select(
+        F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("root_id"), F.col("c_name").alias("rel_path"), status.alias("status"),
+        F.lit(None).cast("string").alias("error"), F.when((F.col("c_acctbal") > 0) & (F.col("c_mktsegment") != "BUILDING"), F.col("c_custkey").cast("long")).alias("vector_id"),
+    )
+
+
+CUSTOMERS = """with c as (select c_custkey::bigint as id, c_nationkey::bigint as root_id, c_name as rel_path,
+case when c_mktsegment = 'BUILDING' then 'pending' when c_acctbal > 0 then 'embedded' else 'decoded' end as status, case when c_acctbal > 0 and c_mktsegment <> 'BUILDING' then c_custkey::bigint end as vector_id from customer) """
+
+
+@query("select o_custkey::bigint as sample_id, max(o_totalprice) as bpm from orders group by all union all select c_custkey, -1.0 from customer where c_custkey not in (select o_custkey from orders)")
+def set_features(spark, sf):
+    old = load(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("sample_id"), F.lit(-1.0).alias("bpm"))
+    new = load(spark, sf, "orders").groupBy(F.col("o_custkey").cast("long").alias("sample_id")).agg(F.max("o_totalprice").alias("bpm"))
+    return catalog.set_features(old, new)
+
+
+@query(CUSTOMERS + "select c.id, case when o.v is not null then 'embedded' else c.status end as status, coalesce(o.v, c.vector_id) as vector_id from c left join (select o_custkey as k, min(o_orderkey)::bigint as v from orders group by all) o on o.k = c.id")
+def set_embeddings(spark, sf):
+    found = load(spark, sf, "orders").groupBy(F.col("o_custkey").cast("long").alias("sample_id")).agg(F.min("o_orderkey").cast("long").alias("vector_id"))
+    return catalog.set_embeddings(customers(spark, sf), found).select("id", "status", "vector_id")
+
+
+@query(CUSTOMERS + "select c.id, case when o.k is not null then 'decode_failed' else c.status end as status, coalesce(o.e, '') as error from c left join (select distinct o_custkey as k, 'open order' as e from orders where o_orderstatus = 'O') o on o.k = c.id")
+def mark_failed(spark, sf):
+    failures = load(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").cast("long").alias("sample_id"), F.lit("open order").alias("error")).distinct()
+    return catalog.mark_failed(customers(spark, sf), failures).select("id", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def layouts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Three runs - active, finished, in flight - over the embeddings' components."""
+    runs_ = spark.createDataFrame([(1, "pca", "{}", 9, 10, 11, True), (2, "umap", "{}", 9, 20, 21, False), (3, "tsne", "{}", 9, 30, None, False)], "id long, algorithm string, params_json string, sample_count long, created_at long, completed_at long, is_active boolean")
+    e = load(spark, sf, "embeddings")
+    each = e.select(F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))).alias("run_id"), F.col("vec_id").alias("sample_id"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"), F.lit(0.0).cast("float").alias("z"))
+    return runs_, each.select("*", *(F.lit(None).cast("float").alias(c) for c in "rgb"))
+
+
+@query("select run_id, count(*) as n, (run_id = 3) as active from embeddings, (values (1), (3)) r(run_id) where run_id = 3 group by all")
+def activate_run(spark, sf):
+    runs_, points_ = catalog.activate(*layouts(spark, sf), 3, 50)
+    return points_.join(runs_.select(F.col("id").alias("run_id"), "is_active"), "run_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_active").alias("active")).withColumn("run_id", F.col("run_id").cast("int"))
+
+
+@query("select run_id, count(*) as n from embeddings, (values (1), (3)) r(run_id) group by all")
+def discard_run(spark, sf):
+    runs_, points_ = catalog.discard(*layouts(spark, sf), 2)
+    runs_, points_ = catalog.discard(runs_, points_, 1)  # the active one stays
+    return points_.groupBy(F.col("run_id").cast("int")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 4 as id, 'umap' as algorithm, false as active, count(*) as sample_count from embeddings")
+def begin_run(spark, sf):
+    runs_, run_id = catalog.begin_run(layouts(spark, sf)[0], "umap", {"neighbours": 15}, load(spark, sf, "embeddings").count(), 60)
+    return runs_.where(F.col("id") == run_id).select(F.col("id").cast("int").alias("id"), "algorithm", F.col("is_active").alias("active"), "sample_count")
+
+
+@query("select vec_id as sample_id, round(case when l.doc_id is not null then 9.5 else embedding[1]::double end, 6) + 0.0 as x from embeddings left join labels l on l.doc_id = vec_id")
+def set_points(spark, sf):
+    _, points_ = layouts(spark, sf)
+    fresh = load(spark, sf, "embeddings").join(load(spark, sf, "labels").withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi")
+    fresh = fresh.select(F.col("vec_id").alias("sample_id"), F.lit(9.5).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"), F.lit(0.0).cast("float").alias("z"))
+    return catalog.set_points(points_, 2, fresh).where("run_id = 2").select("sample_id", r6(F.col("x").cast("double"), "x"))
+
+
+def tag_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Nations as tags of the customers, with a second tag for those in a debt."""
+    tags = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("color"))
+    c = load(spark, sf, "customer")
+    own = c.select(F.col("c_custkey").cast("long").alias("sample_id"), F.col("c_nationkey").cast("long").alias("tag_id"))
+    return tags, own.unionByName(c.where("c_acctbal < 0 and c_nationkey <> 0").select(F.col("c_custkey").cast("long").alias("sample_id"), F.lit(0).cast("long").alias("tag_id")))
+
+
+TAGS = """with own as (select c_custkey::bigint as sample_id, c_nationkey::bigint as tag_id from customer union all select c_custkey, 0 from customer where c_acctbal < 0 and c_nationkey <> 0) """
+
+
+@query(TAGS + "select tag_id, count(*) as n from (select * from own union select 5, 3 union select 5, 25) t group by all")
+def set_tag(spark, sf):
+    """A known tag however it is written, and a new one."""
+    tags, tagged = catalog.set_tag(*tag_tables(spark, sf), 5, " nation_3 ")
+    tags, tagged = catalog.set_tag(tags, tagged, 5, "Atlantis")
+    return tagged.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(TAGS + "select * from own where not (sample_id = (select min(c_custkey) from customer where c_nationkey = 3) and tag_id = 3)")
+def unset_tag(spark, sf):
+    first = load(spark, sf, "customer").where("c_nationkey = 3").agg(F.min("c_custkey")).first()[0]
+    return catalog.unset_tag(*tag_tables(spark, sf), first, "NATION_3")
+
+
+@query(TAGS + "select tag_id, count(*) as n from own where tag_id <> 7 group by all")
+def delete_tag(spark, sf):
+    return catalog.delete_tag(*tag_tables(spark, sf), 7)[1].groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select n_nationkey::bigint as id, case when n_nationkey = 3 then 'Maple' else n_name end as name, case when n_nationkey = 4 then '#123456' else '' end as color from nation")
+def edit_tag(spark, sf):
+    tags = tag_tables(spark, sf)[0]
+    changed = catalog.edit_tag(catalog.edit_tag(tags, 3, "Maple"), 4, color="#123456")
+    return changed.select("id", "name", F.coalesce("color", F.lit("")).alias("color"))
+
+
+@query(TAGS + "select sample_id, string_agg(upper(n_name), ',' order by lower(n_name)) as tags from own join nation on n_nationkey = tag_id group by all")
+def tags_by_sample(spark, sf):
+    return catalog.tags_of(*tag_tables(spark, sf)).select("sample_id", F.upper(F.array_join("tags", ",")).alias("tags"))
+
+
+@query("select n_nationkey::bigint as id from nation where lower(n_name) = 'nation_6'")
+def tag_lookup(spark, sf):
+    return catalog.tag_id(tag_tables(spark, sf)[0], " nATION_6 ")
+
+
+def line_members(spark, sf) -> DataFrame:
+    """Parts as members of the orders, each once, in order of their numbers."""
+    rows = load(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("collection_id"), F.col("l_partkey").cast("long").alias("sample_id")).distinct()
+    return rows.withColumn("position", (F.row_number().over(Window.partitionBy("collection_id").orderBy("sample_id")) - 1).cast("long"))
+
+
+MEMBERS = "with m as (select *, row_number() over (partition by collection_id order by sample_id) - 1 as position from (select distinct l_orderkey::bigint as collection_id, l_partkey::bigint as sample_id from lineitem)) "
+
+
+@query(MEMBERS + "select sample_id, position from m where collection_id = 3")
+def member_lookup(spark, sf):
+    return catalog.member_ids(line_members(spark, sf), 3)
+
+
+@query(MEMBERS + "select collection_id, sample_id, case when collection_id = 3 then (select max(position) from m where collection_id = 3) - position else position end as position from m")
+def reorder_members(spark, sf):
+    members = line_members(spark, sf)
+    mine = [r[0] for r in members.where("collection_id = 3").select("sample_id").orderBy(F.desc("position")).collect()]
+    return catalog.reorder(members, 3, mine)
+
+
+@query(MEMBERS + "select collection_id, sample_id from m where collection_id <> 3")
+def delete_collection(spark, sf):
+    collections = load(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("name"), F.lit(0).cast("long").alias("created_at"))
+    return catalog.delete_collection(collections, line_members(spark, sf), 3)[1].select("collection_id", "sample_id")
+
+
+@query("select s_suppkey::bigint as id, 'new ' || s_name as name from supplier where s_suppkey = 2 union all select s_suppkey, s_name from supplier where s_suppkey <> 2")
+def rename_collection(spark, sf):
+    rows = load(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), F.lit(0).cast("long").alias("created_at"))
+    name = rows.where("id = 2").first()["name"]
+    return catalog.rename_collection(rows, 2, f"  new {name} ").select("id", "name")
+
+
+@query("select r_regionkey::bigint as id, r_name as path, coalesce(case when r_regionkey = 2 then 'far' end, '') as label, r_regionkey <> 1 as enabled from region union all select max(r_regionkey) + 1, 'ATLANTIS', '', true from region")
+def roots_changed(spark, sf):
+    roots = load(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("path"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("enabled"), F.lit(0).cast("long").alias("added_at"), F.lit(None).cast("long").alias("last_scan_id"))
+    known = roots.where("id = 2").first()["path"]
+    roots, same = catalog.add_root(roots, known, "far", 5)
+    assert same == 2
+    roots, _ = catalog.add_root(roots, "ATLANTIS", None, 6)
+    return catalog.enable_root(roots, 1, False).select("id", "path", F.coalesce("label", F.lit("")).alias("label"), "enabled")
+
+
+@query(CUSTOMERS + ", own as (select c_custkey::bigint as sample_id, c_nationkey as tag_id from customer) select (select count(*) from c where root_id <> 3) as samples, (select count(*) from own where tag_id <> 3) as tagged")
+def root_removed(spark, sf):
+    c = customers(spark, sf)
+    own = c.select(F.col("id").alias("sample_id"), F.col("root_id").alias("tag_id"))
+    roots = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    left = catalog.remove_root({"library_roots": roots, "samples": c, "sample_tags": own}, 3)
+    return left["samples"].agg(F.count(F.lit(1)).alias("samples")).crossJoin(left["sample_tags"].agg(F.count(F.lit(1)).alias("tagged")))
+
+
+@query("select 1 as id, 'completed' as status, count(*) as seen, count_if(l.doc_id is null)::bigint as added, count_if(l.doc_id is not null)::bigint as skipped from documents d left join labels l using (doc_id)")
+def scan_tally(spark, sf):
+    from tessera.sources.audio import changed
+
+    found = load(spark, sf, "documents").select(F.lit(1).cast("long").alias("root_id"), F.col("doc_id").cast("string").alias("rel_path"), F.col("n_chars").alias("mtime"), F.col("n_chars").alias("size_bytes"))
+    finished = load(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("rel_path")).join(found, "rel_path").withColumn("status", F.lit("embedded"))
+    seen, todo = found.count(), changed(found, finished, F.col("status") == "embedded").count()
+    runs_, scan_id = catalog.start_scan(spark.createDataFrame([], TABLES["scan_runs"]), 1, 10)
+    done = catalog.finish_scan(runs_, scan_id, "completed", {"seen": seen, "added": todo, "skipped": seen - todo, "failed": 0}, None, 20)
+    return done.select(F.col("id").cast("int").alias("id"), "status", F.col("files_seen").alias("seen"), F.col("files_added").alias("added"), F.col("files_skipped").alias("skipped"))
+
+
+@query("""
+with h as (select doc_id, sha256(text) as h, lpad(doc_id::varchar, 12, '0') as rel_path from documents), t as (select h, min(doc_id) as twin from h where doc_id % 2 = 0 group by h),
+f as (select h, min(rel_path) as first from h where doc_id % 2 = 1 group by h)
+select case when twin is not null then 'existing' when rel_path = first then 'compute' else 'copy' end as plan, count(*) as n from h join f using (h) left join t using (h) where doc_id % 2 = 1 group by all
+""")
+def scan_twins(spark, sf):
+    d = load(spark, sf, "documents").withColumn("content_hash", F.unhex(F.sha2("text", 256)))
+    known = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "content_hash", F.lit("decoded").alias("status"))
+    new = d.where("doc_id % 2 = 1").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("rel_path"), "content_hash")
+    return catalog.twins(new, known, False).groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select n_nationkey::varchar as key, case when n_nationkey = 4 then '0.5' else n_name end as value from nation")
+def settings_changed(spark, sf):
+    settings = load(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
+    return catalog.set_setting(settings, "4", "0.5")
+
+
+@query("select value, gain::double as gain from (values ('0.25', 0.25), ('-1', 1.0), ('loud', 1.0), ('inf', 1.0), ('', 1.0)) t(value, gain)")
+def gain_setting(spark, sf):
+    one = lambda v: catalog.gain(spark.createDataFrame([("gain", v)], "key string, value string"))
+    return spark.createDataFrame([(v, one(v)) for v in ("0.25", "-1", "loud", "inf", "")], "value string, gain double")
+
+
+@query(CUSTOMERS + "select id as sample_id, vector_id from c where status = 'embedded' and vector_id is not null")
+def embedded_samples(spark, sf):
+    return catalog.embedded(customers(spark, sf))
+
+
+@query(CUSTOMERS + "select id, status = 'embedded' as full_done, status in ('embedded', 'decoded') as light_done from c")
+def status_complete(spark, sf):
+    c = customers(spark, sf)
+    return c.select("id", complete(F.col("status"), True).alias("full_done"), complete(F.col("status"), False).alias("light_done"))
+
+
+@query("select c_custkey::bigint as id, case when c_mktsegment in ('pending') then c_mktsegment else 'pending' end as status from customer")
+def status_unknown(spark, sf):
+    return load(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), parse_status(F.col("c_mktsegment")).alias("status"))
+
+
+@query("""
+with a as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, embedding[1]::double * 0.6 - embedding[2]::double * 0.8 + 3 as u, embedding[1]::double * 0.8 + embedding[2]::double * 0.6 - 2 as w from embeddings)
+select id, round(u, 5) + 0.0 as x, round(w, 5) + 0.0 as y from a
+""")
+def procrustes_alignment(spark, sf):
+    """A layout and the same one turned and moved: the fit finds the turn again."""
+    one = points(spark, sf).where("run_id = 1").select(F.col("sample_id").alias("id"), "x", "y")
+    two = one.select("id", (F.col("x") * 0.6 - F.col("y") * 0.8 + 3).alias("x"), (F.col("x") * 0.8 + F.col("y") * 0.6 - 2).alias("y"))
+    moved = projection.procrustes(one, two).apply(one)
+    return moved.select("id", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"))
+
+
+@query("""
+with f as (select vec_id as vector_id, embedding[1]::double as x from embeddings), r as (select o_orderkey::bigint as sample_id, o_custkey::bigint as vector_id from orders),
+m as (select vector_id, min(sample_id) as first from r group by all)
+select sample_id, sample_id = first as exact, case when sample_id = first then round(x, 6) + 0.0 else 99 end as x from r join m using (vector_id) join f using (vector_id)
+""")
+def vector_fan_out(spark, sf):
+    fitted = points(spark, sf).where("run_id = 1").select(F.col("sample_id").alias("id"), "x", "y", F.lit(0.0).alias("z"))
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("sample_id"), F.col("o_custkey").cast("long").alias("vector_id"))
+    spread = projection.fan_out(rows, fitted, 10.0).join(rows, "sample_id").join(fitted.select(F.col("id").alias("vector_id"), F.col("x").alias("at")), "vector_id")
+    exact = F.col("x") == F.col("at")
+    return spread.select("sample_id", exact.alias("exact"), F.when(exact, F.round("at", 6) + 0.0).otherwise(99).alias("x"))
+
+
+# -- queries as they are typed ----------------------------------------------------------------------------------------
+
+
+@query(TOKENS + "select doc_id as sample_id from (select doc_id from k where token = 'der' union select doc_id from k where token = 'les') join documents using (doc_id) where n_chars >= 300 order by doc_id limit 40")
+def filter_text_and_limit(spark, sf):
+    t = Tables(samples(spark, sf), postings=postings(spark, sf))
+    return filters.sample_ids(t, QueryFilter(text='"der" OR "les"', ranges=(Range("durationMs", 300),), limit=40))
+
+
+@query("select doc_id from documents where regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])uber([^\\p{L}\\p{N}]|$)')")
+def fts_accents(spark, sf):
+    """Diacritics are folded in the index as in the query."""
+    index = fulltext.postings(load(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    return fulltext.matching(index, fulltext.parse('"Über"'))
+
+
+@query("select doc_id from documents where lang = 'de' or source = 'src2' or regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])src2([^\\p{L}\\p{N}]|$)')")
+def fts_fields(spark, sf):
+    """Three fields: a word counts wherever it stands."""
+    d = load(spark, sf, "documents")
+    index = fulltext.postings(d.select("doc_id", "text", "lang", "source"), ["text", "lang", "source"], accents=False)
+    found_ = fulltext.matching(index, fulltext.parse('"src2"'))
+    return found_.unionByName(fulltext.matching(index.where("field = 1"), fulltext.parse('"de"'))).distinct()
+
+
+def written(query: fulltext.Node | fulltext.Term | None) -> str:
+    """A parsed query in one line: tokens joined by +, a prefix with a star, operators in brackets."""
+    if query is None:
+        return "-"
+    if isinstance(query, fulltext.Term):
+        return "+".join(query.tokens) + "*" * query.prefix
+    return f"({written(query.left)} {query.op} {written(query.right)})"
+
+
+#: Queries as typed, and what they mean.
+TYPED = {
+    "kick": "kick*",
+    "kick drum": "(kick AND drum*)",
+    '"kick drum"': "kick+drum",
+    '"kick" drum': "(kick AND drum*)",
+    "kick* drum": "(kick* AND drum*)",
+    "kick AND OR snare": "(kick AND snare*)",
+    "kick NOT snare a": "(kick NOT (snare AND a*))",
+    "kick OR snare": "(kick OR snare*)",
+    "kick NOT snare": "(kick NOT snare*)",
+    "AND kick": "kick*",
+    "kick OR": "kick*",
+    "NOT": "-",
+    "": "-",
+    '"open phrase': "open+phrase",
+    "a-b": "(a AND b*)",
+    "!!!": "-",
+}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in TYPED.items()) + ") t(typed, meant)")
+def fts_rewriter(spark, sf):
+    return spark.createDataFrame([(t, written(fulltext.parse(t))) for t in TYPED], "typed string, meant string")
