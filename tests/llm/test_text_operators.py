@@ -641,6 +641,25 @@ def test_similar_texts_that_only_a_third_joins(spark):
     assert sorted(r["doc_id"] for r in got) == [0, 50]
 
 
+def test_unlike_texts_of_one_template_make_few_pairs(spark, monkeypatch):
+    """Texts that share rows of the index but are not similar are no rows of a join."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.choice(60, 4, replace=False):
+            w[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
+    made = []
+    whole = simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, tag: (out := whole(df, tag), made.append((tag, out.count())))[0])
+    left = {r[0] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not left & set(range(1000, 1020))
+    assert dict(made)["crossing"] < 150 * 149 / 2 / 10
+
+
 def test_gray_index():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64))
