@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.frame import SPLIT, WHITE, Frame, let
-from tessera.plans.scratch import kept
+from tessera.plans.scratch import kept, staged
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -157,7 +157,8 @@ def mixed(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
         n_words(frame.col("text")).alias("size"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    found = plan(kept(rows), weights, epochs, seed)
+    # Written with its numbers, so that nothing numbers the rows again.
+    found = plan(staged(rows, "sizes"), weights, epochs, seed)
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -170,7 +171,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EP
     """The mixed documents themselves: a row for each full turn of a document, and one with
     its first words where the mix takes a part of it; all columns are carried."""
     frame = Frame(documents)
-    table = kept(frame.df.withColumn("rid", F.monotonically_increasing_id()))
+    table = staged(frame.df.withColumn("rid", F.monotonically_increasing_id()), "numbered")
     rows = table.select(
         "rid", frame.col("doc_id").cast("long").alias("doc_id"), frame.col("source").alias("source"), n_words(frame.col("text")).alias("size")
     )

@@ -5,10 +5,12 @@ its radius r, so for a query q and a cell with pivot p no row of the cell can sc
 q.p + |q| r.  Every query is first solved in its own cell; its k-th score there bounds what is
 still needed, and the query is sent only to cells whose bound reaches it.
 
-Work is dealt out in units of a block of a cell and a chunk of the queries that need the cell;
+Work is dealt out in units of a block of a cell and a part of the queries that need the cell;
 both have a bounded size, so large cells (a third of all vectors may be equal) and cells that
-many queries need become more units, not larger ones.  Pivots are a bounded sample
-(``pivots`` rows of least hash); the result does not depend on them.
+many queries need become more units, not larger ones.  A unit holds its block and streams its
+queries past it, so a row is sent once for each ``PART`` queries of its cell and a query once for
+each block.  Pivots are rows of least hash, the square root of the number of rows but ``pivots``
+at least, so cells have about as many rows as there are cells; the result does not depend on them.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor
 do null ids; vectors of different lengths are not compared; empty ones score zero among
@@ -19,6 +21,7 @@ smaller id.  Scores beyond 64 bits are clipped to that range.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,8 @@ from tessera.plans.scratch import few, kept, staged
 
 K = 5
 PIVOTS = 96
-#: Rows of a block and queries of a chunk.
-BLOCK, CHUNK = 16_384, 4_096
+#: Rows of a block, queries of a part, and queries held against a block at once.
+BLOCK, PART, CHUNK = 16_384, 262_144, 2_048
 EXACT = float(1 << 53)
 TOP = (1 << 63) - 1
 
@@ -144,72 +147,71 @@ def best(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int)
 
 
 def _solve(k: int):
-    """Rows of units in order (queries before candidates, candidates by id) -> local results."""
-
-    def unit(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        asks = table.column("ask").to_numpy()
-        ids = table.column("vec_id").to_numpy()
-        n = int(asks.sum())
-        if n == 0 or n == len(ids):
-            return None
-        m = _matrix(table.column("v").combine_chunks())
-        q, found, score = best(m[:n], ids[:n], m[n:], ids[n:], k)
+    """Rows of units in order (candidates by id, then queries) -> local results."""
+
+    def solved(block: dict[str, np.ndarray], asks: pa.RecordBatch) -> pa.RecordBatch:
+        q, found, score = best(_matrix(asks.column(7)), asks.column(6).to_numpy(), block["m"], block["ids"], k)
         return pa.RecordBatch.from_arrays(
-            [pa.array(table.column("rid").to_numpy()[:n][q]), pa.array(ids[:n][q]), pa.array(found), pa.array(score)], ["rid", "query_id", "vec_id", "score"]
+            [pa.array(asks.column(5).to_numpy()[q]), pa.array(asks.column(6).to_numpy()[q]), pa.array(found), pa.array(score)], ["rid", "query_id", "vec_id", "score"]
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
+        block, key = None, None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1) if batch.num_rows else np.zeros((0, 4), np.int32)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1) if batch.num_rows else np.zeros((0, 5), np.int32)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if s == e:
                     continue
-                mine = tuple(keys[s])
-                if mine != key:
-                    if held and (out := unit(held)) is not None:
-                        yield out
-                    held, key = [], mine
-                held.append(batch.slice(s, e - s))
-        if held and (out := unit(held)) is not None:
-            yield out
+                if (mine := tuple(keys[s, :4])) != key:
+                    held, block, key = [], None, mine
+                if not keys[s, 4]:
+                    held.append(batch.slice(s, e - s))
+                    continue
+                if held and block is None:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    block, held = {"m": _matrix(rows.column("v").combine_chunks()), "ids": rows.column("vec_id").to_numpy()}, []
+                if block is not None:
+                    for at in range(s, e, CHUNK):
+                        yield solved(block, batch.slice(at, min(CHUNK, e - at)))
 
     return work
 
 
-def _spread(rows: DataFrame, needed: DataFrame, block: int, chunk: int) -> DataFrame:
+def _spread(rows: DataFrame, needed: DataFrame, block: int, part: int) -> DataFrame:
     """Units of the rows of each cell and the queries that need it, in the order of ``_solve``."""
     many = rows.groupBy("n", "cell").agg(F.count(F.lit(1)).alias("rows"))
     asked = needed.groupBy("n", "cell").agg(F.count(F.lit(1)).alias("asks"))
-    size = F.broadcast(
-        staged(few(many.join(asked, ["n", "cell"]).select("n", "cell", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), F.ceil(F.col("asks") / chunk).cast("int").alias("chunks"))), "units")
+    size = (
+        staged(few(many.join(asked, ["n", "cell"]).select("n", "cell", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), F.ceil(F.col("asks") / part).cast("int").alias("parts"))), "units")
     )
 
-    def part(column: str, of: str) -> Column:
+    def place(column: str, of: str) -> Column:
         return F.pmod(F.xxhash64(column), F.col(of)).cast("int")
 
     def each(of: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    columns = ["n", "cell", "block", "chunk", "ask", "rid", "vec_id", "v"]
-    asks = needed.join(size, ["n", "cell"]).withColumn("chunk", part("rid", "chunks")).withColumn("block", each("blocks")).withColumn("ask", F.lit(1))
-    held = rows.join(size, ["n", "cell"]).withColumn("block", part("rid", "blocks")).withColumn("chunk", each("chunks")).withColumn("ask", F.lit(0))
+    columns = ["n", "cell", "block", "part", "ask", "rid", "vec_id", "v"]
+    asks = needed.join(size, ["n", "cell"]).withColumn("part", place("rid", "parts")).withColumn("block", each("blocks")).withColumn("ask", F.lit(1))
+    held = rows.join(size, ["n", "cell"]).withColumn("block", place("rid", "blocks")).withColumn("part", each("parts")).withColumn("ask", F.lit(0))
     return (
         asks.select(*columns)
         .unionByName(held.select(*columns))
-        .repartition("n", "cell", "block", "chunk")
-        .sortWithinPartitions("n", "cell", "block", "chunk", F.desc("ask"), "vec_id")
+        .repartition("n", "cell", "block", "part")
+        .sortWithinPartitions("n", "cell", "block", "part", "ask", "vec_id")
     )
 
 
-def searched(table: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def searched(table: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, block: int = BLOCK, part: int = PART) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row of ``vectors`` that ``is_query`` (over
     ``vec_id``) picks, against all rows."""
-    rows = kept(vectors(table).withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v"))
-    few_rows = thinned(rows, F.col("vec_id"), pivots, rows.count())
+    # Written with its numbers, so that nothing numbers the rows again.
+    rows = staged(vectors(table).withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v"), "vectors")
+    total = rows.count()
+    pivots = max(pivots, math.isqrt(total))
+    few_rows = thinned(rows, F.col("vec_id"), pivots, total)
     sample = few_rows.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)), "rid").limit(pivots).select("v").collect()
     fitted = Pivots([r["v"] for r in sample])
     placed = kept(map_batches(rows, _assign(fitted), "rid long, vec_id long, v array<double>, cell int, far double", 5_000).withColumn("n", F.size("v")))
@@ -218,12 +220,12 @@ def searched(table: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOT
         cells.setdefault(r["n"], []).append((r["cell"], r["r"]))
     queries = placed.where(is_query)
     answer = "rid long, query_id long, vec_id long, score long"
-    near = kept(map_batches(_spread(placed, queries, block, chunk), _solve(k), answer, 5_000))
+    near = kept(map_batches(_spread(placed, queries, block, part), _solve(k), answer, 5_000))
     order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     least = near.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("rid", F.col("score").cast("double").alias("least"))
     ready = queries.join(least, "rid", "left").select("rid", "vec_id", "v", "cell", "least")
     needed = kept(map_batches(ready, _route(fitted, cells), "rid long, vec_id long, v array<double>, cell int", 1_000).withColumn("n", F.size("v")))
-    far = map_batches(_spread(placed, needed, block, chunk), _solve(k), answer, 5_000)
+    far = map_batches(_spread(placed, needed, block, part), _solve(k), answer, 5_000)
     return (
         near.unionByName(far)
         .withColumn("rank", F.row_number().over(order))

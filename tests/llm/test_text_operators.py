@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -305,6 +306,42 @@ def test_mixing(docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_by_a_heap(spark):
+    """The mix row by row: the packet with the least virtual finish time is always the next."""
+    rows = [(r[0], r[3], len(words(r[1])), i) for i, r in enumerate(corpus())]
+    hashes = {r[0]: r[1] for r in spark.createDataFrame(corpus(), DOCS).select("doc_id", F.xxhash64(F.lit(0), "doc_id")).collect()}
+    sizes = collections.Counter()
+    for _, source, n, _ in rows:
+        sizes[source] += n
+    goal = mixing.whole(mixing.targets(sizes))
+    queues = {}
+    for source, target in goal.items():
+        own = sorted((r for r in rows if r[1] == source and r[2]), key=lambda r: (hashes[r[0]], r[0], r[2], r[3]))
+        packets, at = [], 0
+        for epoch in range(3):
+            for doc_id, _, n, i in own:
+                first = min(max(target - at, 0), n)
+                for part, done in ((first, at + first), (n - first, at + n)):
+                    if part:
+                        packets.append((done / target if target else math.inf, hashes[doc_id], i, epoch, part))
+                at += n
+        queues[source] = packets[::-1]
+    heap = [(q[-1], str(source), source) for source, q in queues.items() if q]
+    heapq.heapify(heap)
+    left, taken = sum(goal.values()), collections.Counter()
+    while left and heap:
+        packet, name, source = heapq.heappop(heap)
+        queues[source].pop()
+        took = min(packet[4], left)
+        taken[packet[2]] += took
+        left -= took
+        if queues[source]:
+            heapq.heappush(heap, (queues[source][-1], name, source))
+    want = collections.Counter((r[0], taken[r[3]]) for r in rows)
+    got = collections.Counter((r["doc_id"], r["taken"]) for r in mixing.mixed(spark.createDataFrame(corpus(), DOCS)).collect())
+    assert got == want
+
+
 # -- BPE ------------------------------------------------------------------------------------------------------------
 
 
@@ -523,6 +560,22 @@ def test_substrings_of_null_ids(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 60)]
 
 
+def test_very_long_texts(spark):
+    """Texts of megabytes, beside others, for the operators that read texts in Python."""
+    rng = np.random.default_rng(6)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 3000, 300_000))
+    rows = [(1, long), (2, long + " tail"), (3, "short text"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.deduplicated(df).collect()} == {1: 0, 2: 300_000, 3: 0, 4: 0}
+    codes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert codes[1] == codes[2] == 1
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == {1, 3, 4}
+    measured_ = {r["doc_id"]: r["n_words"] for r in quality.judged(df).collect()}
+    assert measured_ == {1: 300_000, 2: 300_001, 3: 2, 4: 0}
+    scores = {r["doc_id"]: r["n_tokens"] for r in lm.scored(df, head=50, tails=8, classes=4).collect()}
+    assert scores == {1: 300_001, 2: 300_002, 3: 3, 4: 1}
+
+
 # -- near duplicates -----------------------------------------------------------------------------------------------------------------
 
 
@@ -732,7 +785,7 @@ def test_topk(spark):
         if i % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in fine if j != i and len(v) == len(q))[:5]
             want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
-    for options in ({}, {"block": 20, "chunk": 3, "pivots": 7}):
+    for options in ({}, {"block": 20, "part": 3, "pivots": 7}):
         got = topk.searched(df, F.col("vec_id") % 50 == 0, **options)
         assert collections.Counter(map(tuple, got.collect())) == want
     assert topk.searched(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
