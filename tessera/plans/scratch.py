@@ -7,6 +7,7 @@ so a lost executor costs a re-run of its tasks, never of the finished table.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The session's ``spark.checkpoint.dir``; where it is unset and all runs in this process
+    (tests), a folder of our own.  Other machines would not see that, so a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = getattr(spark, "_tessera_folder", None)
         if folder is None:
             folder = spark._tessera_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
