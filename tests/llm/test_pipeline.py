@@ -68,7 +68,7 @@ def test_stages_take_awkward_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = docs.limit(30).unionByName(docs.limit(5))
     nulls = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (7, None, "en", "src1", None)], docs.schema)
-    odd = more.unionByName(nulls).select("*", F.lit(1).alias("T"), F.lit(2).alias("FP"), F.lit("x").alias("TEXT"), F.lit(3).alias("rid"), F.lit(4).alias("k1"))
+    odd = more.unionByName(nulls).select("*", F.lit(1).alias("T"), F.lit(2).alias("fp"), F.lit("x").alias("place"), F.lit(3).alias("rid"), F.lit(4).alias("k1"))
     for table in (odd, odd.limit(0)):
         for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
             names = table.columns
