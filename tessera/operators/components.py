@@ -7,7 +7,7 @@ the shared folder, so no plan gets deeper than one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import few, staged
@@ -34,21 +34,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Null endpoints, self loops and repeated edges add nothing.  Nodes without an edge are
     not returned: they are their own component.
     """
-    now = staged(
-        few(edges.select(F.greatest(F.col(src), F.col(dst)).alias("a"), F.least(F.col(src), F.col(dst)).alias("b"))
+    def written(edges_: DataFrame, tag: str) -> tuple[DataFrame, dict]:
+        """The table, and its number of rows and sum of hashes, seen while it is written."""
+        seen = Observation()
+        table = staged(few(edges_).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), tag)
+        return table, seen.get
+
+    now, mark = written(
+        edges.select(F.greatest(F.col(src), F.col(dst)).alias("a"), F.least(F.col(src), F.col(dst)).alias("b"))
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("a") != F.col("b")))
-        .distinct()),
+        .distinct(),
         "edges",
     )
     before = None
     for _ in range(max_rounds):
-        mark = now.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
-        ).first()
         if mark == before or not mark["n"]:
             break
         before = mark
-        now = staged(few(_small_star(_large_star(now))), "edges")
+        now, mark = written(_small_star(_large_star(now)), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
