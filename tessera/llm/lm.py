@@ -52,7 +52,9 @@ ROUNDS = 6
 #: The token at the end of each text; no word is empty.
 END = b""
 #: Words a worker counts before it hands its counts on, and events it sums up at once.
-COUNTED, EVENTS = 1 << 20, 1 << 22
+COUNTED, EVENTS = 1 << 20, 1 << 21
+#: Words that a worker numbers before it begins anew.
+NUMBERED = 1 << 18
 #: Seed of Spark's own 64-bit hash, so both sides name a word alike.
 SEED = 42
 
@@ -261,7 +263,7 @@ def _neighbours(shared, classes: int):
             before, after = ids[1:] * codes + of[:-1], ids[:-1] * codes + classes + of[1:]
             made += [before[moves[1:]], after[moves[:-1]]]
             size += len(made[-1]) + len(made[-2])
-            if size > EVENTS or len(cls) > COUNTED:
+            if size > EVENTS or len(cls) > NUMBERED:
                 yield out()
                 numbers, cls, free, made, size = Numbers(), [], [], [], 0
         if made:
@@ -456,7 +458,7 @@ def _read(shared):
 
         end = 0
         for batch in batches:
-            if len(numbers) > COUNTED:
+            if len(numbers) > NUMBERED:
                 numbers, logs, cls, ids_of, other = Numbers(), [], [], [], []
             texts = [np.fromiter(map(numbers.__getitem__, [*value.as_py().lower().split(), END]), np.int64) for value in batch.column(3)]
             learn()
