@@ -76,7 +76,15 @@ class Library:
         return Tables(samples, features, tagged, tags, members, runs, points, index)
 
     def postings(self) -> DataFrame:
-        """The full-text index: derived from the tables, so it can never be out of date."""
+        """The full-text index (F15): written once for each version of its tables and named by
+        them, so it can never be out of date; sorted by token, so a search reads few of its rows."""
+        versions = self.store.pointers()
+        path = f"{self.store.folder}/_index/{'-'.join(str(versions.get(t, 0)) for t in ('samples', 'tags', 'sample_tags'))}"
+        if not self.store.exists(f"{path}/_SUCCESS"):
+            self._indexed().repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _indexed(self) -> DataFrame:
         samples, tagged, tags = self._read("samples", "sample_tags", "tags")
         named = tagged.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").select("sample_id", "name")
         docs = fulltext.searched_text(samples.withColumnRenamed("id", "sample_id"), named)

@@ -76,9 +76,13 @@ class Store:
         array[0] = rename.OVERWRITE
         options.rename(temporary, final, array)
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def prune(self) -> None:
-        """Remove versions that the pointer does not name."""
+        """Remove versions that the pointer does not name, and search indexes."""
         now = self.pointers()
+        self._fs.delete(self._path(f"{self.folder}/_index"), True)
         for table, version in now.items():
             for status in self._fs.listStatus(self._path(f"{self.folder}/{table}")):
                 if status.getPath().getName() != f"v{version}":

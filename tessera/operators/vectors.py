@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from tessera.operators.components import connected_components
 from tessera.plans.ship import ensure
 
 MAX_K, NEIGHBOURS = 200, 15
-#: Query vectors that one pass over the matrix is held against at a time.
-BLOCK = 4096
+#: Query vectors that are held against the matrix at a time, and its rows in a unit where there are more.
+BLOCK, ROWS = 4096, 16_384
 
 
 def similar(vectors: DataFrame, target_id: int, k: int) -> DataFrame:
@@ -64,27 +65,31 @@ def _nearest(queries: pd.DataFrame, k: int, metric: str):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, metric: str = "cosine") -> DataFrame:
     """``query_id, id, score, rank``: the k best of ``vectors (id, v)`` for each query.
 
-    Queries are taken block by block, so neither the driver nor a task holds more than BLOCK
-    of them; each block is one pass with a bounded top-k in every partition and a merge.
-    Score is the cosine, or for ``euclid`` q.x - |x|^2/2, which orders like the distance.
+    At most BLOCK queries are sent to the vectors, one pass with a bounded top-k in every
+    partition and a merge.  More queries are dealt out with the vectors to units of at most about
+    BLOCK queries and ROWS vectors; nothing passes through the driver.  Score is the cosine, or
+    for ``euclid`` q.x - |x|^2/2, which orders like the distance.
     """
     ensure(vectors.sparkSession)
-    out: DataFrame | None = None
-    held: list = []
-
-    def solve(rows: list) -> DataFrame:
-        block = pd.DataFrame([(r["id"], np.asarray(r["v"], np.float64)) for r in rows], columns=["id", "v"])
-        return vectors.select("id", "v").mapInPandas(_nearest(block, k, metric), "query_id long, id long, score double")
-
-    for row in queries.select("id", "v").toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK:
-            part = solve(held)
-            out = part if out is None else out.unionByName(part)
-            held = []
-    if held or out is None:
-        part = solve(held)
-        out = part if out is None else out.unionByName(part)
+    answer = "query_id long, id long, score double"
+    queries, vectors = queries.select("id", "v"), vectors.select("id", "v")
+    some = queries.limit(BLOCK + 1).collect()
+    if len(some) <= BLOCK:
+        block = pd.DataFrame([(r["id"], np.asarray(r["v"], np.float64)) for r in some], columns=["id", "v"])
+        out = vectors.mapInPandas(_nearest(block, k, metric), answer)
+    else:
+        parts, blocks = -(-queries.count() // BLOCK), -(-vectors.count() // ROWS)
+
+        def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+            return rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+        def solve(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            found = list(_nearest(asked.reset_index(drop=True), k, metric)(iter([held])))
+            return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+        left = dealt(queries, "part", parts, "block", blocks).groupBy("part", "block")
+        right = dealt(vectors, "block", blocks, "part", parts).groupBy("part", "block")
+        out = left.cogroup(right).applyInPandas(solve, answer)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -92,10 +97,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, metric:
 def ranked_pairs(queries: DataFrame, vectors: DataFrame, k: int, score: Column, best_first: bool = True) -> DataFrame:
     """Batch top-k with built-in functions only; ``score`` is over ``q.v`` and ``x.v``.
 
-    ``queries`` is a stated, bounded set: it is the side that is broadcast.
+    Queries are broadcast BLOCK at a time.
     """
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    pairs = vectors.select("id", F.col("v").alias("x")).join(q, F.col("id") != F.col("query_id"))
+    parts = max(1, -(-queries.count() // BLOCK))
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    x = vectors.select("id", F.col("v").alias("x"))
+    each = [q] if parts == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    pairs = reduce(DataFrame.unionByName, [x.join(F.broadcast(some), F.col("id") != F.col("query_id")) for some in each])
     order = Window.partitionBy("query_id").orderBy(F.desc("score") if best_first else F.asc("score"), "id")
     return pairs.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -179,3 +179,28 @@ def test_layouts_keep_neighbours(spark):
         projection.Umap().fit_transform(v.limit(10))
     with pytest.raises(schemas.Degenerate):
         projection.Umap(neighbours=5).fit_transform(v)
+
+
+def test_nearest_in_units(spark, monkeypatch):
+    """More queries than are sent at once go through units, with the same result."""
+    from tessera.functions import scalar
+    from tessera.operators import vectors
+
+    rng = __import__("numpy").random.default_rng(2)
+    v = spark.createDataFrame([(i, rng.normal(size=4).round(3).tolist()) for i in range(120)], "id long, v array<double>").persist()
+    for metric in ("cosine", "euclid"):
+        whole = sorted((r["query_id"], r["rank"], r["id"]) for r in vectors.nearest(v, v, 3, metric).collect())
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "BLOCK", 25)
+            m.setattr(vectors, "ROWS", 50)
+            assert sorted((r["query_id"], r["rank"], r["id"]) for r in vectors.nearest(v, v, 3, metric).collect()) == whole
+            if metric == "cosine":
+                pairs = vectors.ranked_pairs(v, v, 3, scalar.cosine(F.col("q"), F.col("x"))).collect()
+                assert sorted((r["query_id"], r["rank"], r["id"]) for r in pairs) == whole
+
+
+def test_a_taken_tag_name_is_refused(spark):
+    tags = spark.createDataFrame([(1, "Oak", None), (2, "pine", None)], "id long, name string, color string")
+    with pytest.raises(schemas.Invalid):
+        catalog.edit_tag(tags, 2, "OAK")
+    assert {r["name"] for r in catalog.edit_tag(tags, 1, "OAK").collect()} == {"OAK", "pine"}
