@@ -444,7 +444,7 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, le
     near = staged(few(links(found.select("fp").distinct(), radius).distinct()), "near")
     # Copies of a text are one entry; texts of one fingerprint are linked anyway.
     single = kept(found.groupBy("t", "fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("least").alias("least")))
-    index = kept(single.select("t", "fp", "n", F.explode("bands").alias("h")))
+    index = single.select("t", "fp", "n", F.explode("bands").alias("h"))
     entry = F.struct("n", "t", "fp")
     heads = index.groupBy("h").agg(F.min(entry).alias("head"), (F.min("fp") != F.max("fp")).alias("several"), F.count(F.lit(1)).alias("m")).where("several")
     shared = staged(_spread(index.join(heads.select("h", "head", "m"), "h")), "shared-rows")
