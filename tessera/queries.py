@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.operators import catalog, columns, filters, fulltext, projection, vectors
+from tessera.operators import catalog, columns, embedding, filters, fulltext, projection, vectors
 from tessera.operators.components import connected_components
 from tessera.operators.filters import QueryFilter, Range, Tables
 from tessera.schemas import TABLES, complete, parse_status
@@ -928,3 +928,18 @@ TYPED = {
 @query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in TYPED.items()) + ") t(typed, meant)")
 def fts_rewriter(spark, sf):
     return spark.createDataFrame([(t, written(fulltext.parse(t))) for t in TYPED], "typed string, meant string")
+
+
+class Doubled:
+    """A model that doubles the first two components."""
+
+    width = 2
+
+    def embed(self, inputs):
+        return [x[:2] * 2 for x in inputs]
+
+
+@query("select vec_id as id, round(2 * embedding[1]::double, 5) + 0.0 as x, round(2 * embedding[2]::double, 5) + 0.0 as y from embeddings")
+def embedding_stage(spark, sf):
+    found_ = embedding.embedded(vecs(spark, sf).withColumnRenamed("v", "input"), Doubled())
+    return found_.select("id", *((F.round(F.col("v")[i].cast("double"), 5) + 0.0).alias(n) for i, n in enumerate("xy")))
