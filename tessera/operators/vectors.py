@@ -17,6 +17,8 @@ from tessera.plans.ship import ensure
 MAX_K, NEIGHBOURS = 200, 15
 #: Query vectors that are held against the matrix at a time, and its rows in a unit where there are more.
 BLOCK, ROWS = 4096, 16_384
+#: Pairs that are looked at by one matrix product, and scored at a time.
+CELLS, PAIRS = 1 << 22, 1 << 18
 
 
 def similar(vectors: DataFrame, target_id: int, k: int) -> DataFrame:
@@ -28,36 +30,87 @@ def similar(vectors: DataFrame, target_id: int, k: int) -> DataFrame:
     return found.orderBy(F.desc("cos"), "id").limit(k).select("id", F.greatest("cos", F.lit(0.0)).alias("similarity"))
 
 
+def _summed(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Sums of products in the order of the components, so that a pair has the same sum in every batch."""
+    out = np.zeros(n)
+    for a, b in pairs:
+        out += a * b
+    return out
+
+
 def _nearest(queries: pd.DataFrame, k: int, metric: str):
-    """Per-partition top k of a bounded block of queries by one matrix product a batch."""
+    """Per-partition top k of a bounded block of queries.
+
+    Matrix products only tell which pairs may be among the best: their last bits depend on where a
+    row lies.  Those pairs are scored again component by component, so copies of a vector tie
+    and go by id, and a distance of nothing is 0.
+    """
     ids = queries["id"].to_numpy()
     q = np.stack(queries["v"].to_numpy()).astype(np.float64) if len(ids) else np.zeros((0, 1))
-    norm = np.sqrt((q * q).sum(axis=1))
+    qt = np.ascontiguousarray(q.T)
+    q2 = _summed(zip(qt, qt, strict=True), len(ids))
+    step, slack = max(64, CELLS // max(1, len(ids))), 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
+
+    def unit(x: np.ndarray, x2: np.ndarray) -> np.ndarray:
+        return np.divide(x, np.sqrt(x2)[:, None], out=np.zeros_like(x), where=x2[:, None] != 0)
+
+    def bounds(x: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a pair's key (negative cosine, squared distance) is at least, and by how much it may exceed that."""
+        if metric == "cosine":
+            low = unit(q, q2) @ unit(x, x2).T
+            np.negative(low, out=low)
+            return np.subtract(low, slack, out=low), np.full((1, 1), 2 * slack)
+        low = q @ x.T
+        low *= -2
+        low += (q2 * (1 - slack))[:, None]
+        low += (x2 * (1 - slack))[None, :]
+        return low, 2 * slack * (q2.max(initial=0.0) + x2)[None, :]
+
+    def scores(i: np.ndarray, j: np.ndarray, xt: np.ndarray, x2: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            size = np.sqrt(q2[i] * x2[j])
+            dots = _summed(((a[i], b[j]) for a, b in zip(qt, xt, strict=True)), len(i))
+            return np.clip(np.divide(dots, size, out=np.zeros(len(i)), where=size != 0), -1, 1)
+        ways = (a[i] - b[j] for a, b in zip(qt, xt, strict=True))
+        return np.sqrt(_summed(((w, w) for w in ways), len(i)))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
+        # The best so far by query, key and id; the k-th of each query and a bound of its key.
+        at, other, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        last, last_id, limit = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), np.inf)
+
+        def key(s: np.ndarray) -> np.ndarray:
+            """Smaller is better; what is not a number is the greatest, as in SQL."""
+            return np.where(np.isnan(s), -np.inf, -s) if metric == "cosine" else np.where(np.isnan(s), np.inf, s)
+
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            x = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            other = batch["id"].to_numpy()
-            dots = q @ x.T
-            if metric == "cosine":
-                size = norm[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
-                score = np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
-            else:
-                score = dots - (x * x).sum(axis=1)[None, :] / 2
-            score[ids[:, None] == other[None, :]] = -np.inf
-            # Ties by id: order the columns by id first, then a stable sort by score.
-            order = np.argsort(other, kind="stable")
-            top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-            rows = np.repeat(np.arange(len(ids)), top.shape[1])
-            value = score[rows, top.ravel()]
-            keep = np.isfinite(value)
-            best.append(pd.DataFrame({"query_id": ids[rows][keep], "id": other[top.ravel()][keep], "score": value[keep]}))
-        if best:
-            both = pd.concat(best).sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-            yield both.groupby("query_id").head(k)
+            for start in range(0, len(batch) if len(ids) else 0, step):
+                some = batch.iloc[start : start + step]
+                x = np.stack(some["v"].to_numpy()).astype(np.float64)
+                own, xt = some["id"].to_numpy(), np.ascontiguousarray(x.T)
+                x2 = _summed(zip(xt, xt, strict=True), len(own))
+                low, more = bounds(x, x2)
+                mine = ids[:, None] == own[None, :]
+                if len(own) >= k and np.isinf(limit).any():
+                    limit = np.fmin(limit, np.partition(np.where(mine, np.inf, low + more), k - 1, axis=1)[:, k - 1])
+                may = low > limit[:, None]
+                may |= mine
+                i, j = np.nonzero(~may)
+                found = [(at, other, score)]
+                for cut in range(0, len(i), PAIRS):
+                    ii, jj = i[cut : cut + PAIRS], j[cut : cut + PAIRS]
+                    s = scores(ii, jj, xt, x2)
+                    better = (key(s) < last[ii]) | ((key(s) == last[ii]) & (own[jj] < last_id[ii]))
+                    found.append((ii[better], own[jj][better], s[better]))
+                at, other, score = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((other, key(score), at))
+                at, other, score = at[order], other[order], score[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                full = at[place == k - 1]
+                last[full], last_id[full] = key(score[place == k - 1]), other[place == k - 1]
+                limit[full] = np.fmin(limit[full], last[full] if metric == "cosine" else last[full] ** 2 * (1 + slack))
+                at, other, score = at[place < k], other[place < k], score[place < k]
+        yield pd.DataFrame({"query_id": ids[at], "id": other, "score": score})
 
     return work
 
@@ -67,31 +120,36 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, metric:
 
     At most BLOCK queries are sent to the vectors, one pass with a bounded top-k in every
     partition and a merge.  More queries are dealt out with the vectors to units of at most about
-    BLOCK queries and ROWS vectors; nothing passes through the driver.  Score is the cosine, or
-    for ``euclid`` q.x - |x|^2/2, which orders like the distance.
+    4 BLOCK queries and ROWS vectors; nothing passes through the driver.  Score is the cosine (0 for
+    a zero vector), or for ``euclid`` the distance.  Null vectors take no part.
     """
-    ensure(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ensure(spark)
     answer = "query_id long, id long, score double"
-    queries, vectors = queries.select("id", "v"), vectors.select("id", "v")
+    queries, vectors = (d.select(F.col("id").cast("long"), "v").where("v is not null") for d in (queries, vectors))
     some = queries.limit(BLOCK + 1).collect()
     if len(some) <= BLOCK:
-        block = pd.DataFrame([(r["id"], np.asarray(r["v"], np.float64)) for r in some], columns=["id", "v"])
-        out = vectors.mapInPandas(_nearest(block, k, metric), answer)
+        block = pd.DataFrame([(r["id"], np.asarray(r["v"], np.float64)) for r in some], columns=["id", "v"]).astype({"id": "int64"})
+        # A file may be one row group, which one task would read and work through alone.
+        spread = vectors.repartition(max(spark.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions()), "id")
+        out = spread.mapInPandas(_nearest(block, k, metric), answer)
     else:
-        parts, blocks = -(-queries.count() // BLOCK), -(-vectors.count() // ROWS)
+        parts, blocks = -(-queries.count() // (4 * BLOCK)), -(-vectors.count() // ROWS)
 
         def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-            return rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+            place, each = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+            return rows.select("id", "v", place.alias(own), each.alias(other), F.lit(own == "part").alias("asks"))
 
-        def solve(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            found = list(_nearest(asked.reset_index(drop=True), k, metric)(iter([held])))
-            return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            asked, held = rows[rows["asks"]].reset_index(drop=True), rows[~rows["asks"]]
+            return next(_nearest(asked, k, metric)(iter([held])))
 
-        left = dealt(queries, "part", parts, "block", blocks).groupBy("part", "block")
-        right = dealt(vectors, "block", blocks, "part", parts).groupBy("part", "block")
-        out = left.cogroup(right).applyInPandas(solve, answer)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        # One table, not a cogroup: that needs keys of one type on both sides and prunes columns that both have from one source.
+        both = dealt(queries, "part", parts, "block", blocks).unionByName(dealt(vectors, "block", blocks, "part", parts))
+        out = both.groupBy("part", "block").applyInPandas(solve, answer)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if metric == "cosine" else F.asc("score"), "id")
+    # Pandas makes nulls of scores that are not numbers.
+    return out.withColumn("score", F.coalesce("score", F.lit(float("nan")))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def ranked_pairs(queries: DataFrame, vectors: DataFrame, k: int, score: Column, best_first: bool = True) -> DataFrame:
@@ -128,9 +186,8 @@ def place(newcomers: DataFrame, anchors: DataFrame, k: int = NEIGHBOURS) -> Data
     if facts["n"] < 2:
         return newcomers.where(F.lit(False)).select("id", *(F.lit(0.0).alias(c) for c in "xyz"))
     near = nearest(newcomers, anchors.select("id", "v"), min(k, facts["n"]), "euclid")
-    own = newcomers.select(F.col("id").alias("query_id"), scalar.squared_norm(F.col("v")).alias("q2"))
-    distance = F.sqrt(F.greatest(F.col("q2") - 2 * F.col("score"), F.lit(0.0)))
-    placed = barycentre(near.join(own, "query_id").withColumn("distance", distance).join(anchors.select("id", "x", "y"), "id"))
+    near = near.withColumnRenamed("score", "distance").where(F.col("distance") < float("inf"))
+    placed = barycentre(near.join(anchors.select("id", "x", "y"), "id"))
     dx, dy = scalar.jitter(F.col("query_id"), F.lit(float(facts["extent"] or 0.0)))
     return placed.select(F.col("query_id").alias("id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(0.0).alias("z"))
 

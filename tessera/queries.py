@@ -258,8 +258,7 @@ def barycentre_placement(spark, sf):
     v = vecs(spark, sf)
     anchors = v.where("id % 20 <> 0").withColumns({"x": F.col("v")[0].cast("double"), "y": F.col("v")[1].cast("double")})
     near = vectors.nearest(v.where("id % 20 = 0"), anchors, 15, "euclid")
-    own = v.select(F.col("id").alias("query_id"), scalar.squared_norm(F.col("v")).alias("q2"))
-    both = near.join(own, "query_id").withColumn("distance", F.sqrt(F.greatest(F.col("q2") - 2 * F.col("score"), F.lit(0.0)))).join(anchors.select("id", "x", "y"), "id")
+    both = near.withColumnRenamed("score", "distance").join(anchors.select("id", "x", "y"), "id")
     return vectors.barycentre(both).select(F.col("query_id").alias("id"), r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 

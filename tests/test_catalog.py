@@ -204,3 +204,65 @@ def test_a_taken_tag_name_is_refused(spark):
     with pytest.raises(schemas.Invalid):
         catalog.edit_tag(tags, 2, "OAK")
     assert {r["name"] for r in catalog.edit_tag(tags, 1, "OAK").collect()} == {"OAK", "pine"}
+
+
+def unit_rows(n, dim, seed):
+    x = __import__("numpy").random.default_rng(seed).normal(size=(n, dim)).astype("float32")
+    return [r.tolist() for r in x / (x * x).sum(axis=1, keepdims=True) ** 0.5]
+
+
+def test_copies_of_a_vector_go_by_id(spark):
+    """Copies tie wherever they lie, are at distance 0, and a query's copies count as others."""
+    from tessera.operators import vectors
+
+    base = unit_rows(40, 64, 3)
+    v = spark.createDataFrame([(i, base[i % 40]) for i in range(2000)], "id long, v array<float>").repartition(7)
+    for metric, best in (("euclid", 0.0), ("cosine", 1.0)):
+        got = vectors.nearest(v.where("id % 100 = 3"), v, 6, metric).collect()
+        assert {(r["query_id"], r["rank"], r["id"]) for r in got} == {
+            (q, n, i) for q in range(3, 2000, 100) for n, i in enumerate([i for i in range(q % 40, 2000, 40) if i != q][:6], 1)
+        }
+        assert all(abs(r["score"] - best) < (1e-12 if metric == "cosine" else 1e-300) for r in got)
+
+
+def test_placement_beside_a_copy(spark, tmp_path):
+    """A newcomer that equals one anchor keeps that anchor's full weight: distances come from differences."""
+    import duckdb
+
+    from tessera.queries import ORACLES, QUERIES
+
+    base = unit_rows(2000, 64, 5)
+    spark.createDataFrame([(i, base[i % 2000]) for i in range(6003)], "vec_id long, embedding array<float>").selectExpr("vec_id + vec_id div 2000 * 3 as vec_id", "embedding").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("barycentre_placement", "euclid_topk_partitioned", "cosine_topk", "hit_rate_at_k"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(ORACLES[name]).fetchall()), name
+
+
+def test_vectors_that_are_null_or_not_numbers(spark):
+    from tessera.operators import vectors
+
+    nan = float("nan")
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [nan, 1.0]), (3, None), (4, [1.0, 1.0])], "id long, v array<double>")
+    order = {m: [r["id"] for r in sorted(vectors.nearest(v.where("id = 0"), v, 9, m).collect(), key=lambda r: r["rank"])] for m in ("cosine", "euclid")}
+    assert order == {"cosine": [2, 4, 1], "euclid": [1, 4, 2]}
+
+
+def test_units_meet_in_one_partition(spark, monkeypatch):
+    """Without partitions being joined up behind the shuffle, each unit still gets its queries and its vectors."""
+    from tessera.operators import vectors
+
+    rows = unit_rows(400, 16, 7)
+    v = spark.createDataFrame(list(enumerate(rows)), "id long, v array<float>").persist()
+    x = __import__("numpy").array(rows, dtype="float32").astype(float)
+    monkeypatch.setattr(vectors, "BLOCK", 12)
+    monkeypatch.setattr(vectors, "ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for metric in ("cosine", "euclid"):
+            got = sorted((r["query_id"], r["rank"], r["id"]) for r in vectors.nearest(v.where("id % 4 = 0"), v, 3, metric).collect())
+            far = 1 - x @ x.T + 9 * __import__("numpy").eye(400)
+            assert got == [(q, n, int(i)) for q in range(0, 400, 4) for n, i in enumerate(far[q].argsort()[:3], 1)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
