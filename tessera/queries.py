@@ -221,7 +221,7 @@ select query_id, id, rank, round(c, 6) + 0.0 as score from r where rank <= 5
 """)
 def cosine_topk(spark, sf):
     v = vecs(spark, sf)
-    return vectors.ranked_pairs(v.where("id % 20 = 0"), v, 5, scalar.cosine(F.col("q"), F.col("x"))).select("query_id", "id", "rank", r6(F.col("score"), "score"))
+    return vectors.nearest(v.where("id % 20 = 0"), v, 5, "cosine").select("query_id", "id", "rank", r6(F.col("score"), "score"))
 
 
 @query("""
