@@ -330,8 +330,8 @@ select round(avg(case when rc <= 15 then 1.0 else 0.0 end), 6) + 0.0 as hit_rate
 def hit_rate_at_k(spark, sf):
     v = vecs(spark, sf)
     flat = v.select("id", F.slice("v", 1, 2).alias("v"))
-    truth = vectors.ranked_pairs(v.where("id % 20 = 0"), v, 15, scalar.cosine(F.col("q"), F.col("x")))
-    spatial = vectors.ranked_pairs(flat.where("id % 20 = 0"), flat, 5, scalar.euclidean(F.col("q"), F.col("x")), best_first=False)
+    truth = vectors.nearest(v.where("id % 20 = 0"), v, 15, "cosine")
+    spatial = vectors.nearest(flat.where("id % 20 = 0"), flat, 5, "euclid")
     return vectors.hit_rate(spatial, truth).select(r6(F.col("hit_rate"), "hit_rate"))
 
 
