@@ -290,7 +290,8 @@ def _digests(line: Column) -> list[Column]:
 
 
 def _worded(line: Column) -> Column:
-    return F.btrim(line, F.lit(WHITE)) != ""
+    # Trimming on the left is enough to tell, and stops at the first character of a word.
+    return F.ltrim(line, F.lit(WHITE)) != ""
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:

@@ -796,3 +796,15 @@ def test_topk_large_components(spark):
     got = topk.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
     # Both scores are clipped to the largest number, so the smaller id comes first.
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, (1 << 63) - 1), (3, (1 << 63) - 1), (2, -(1 << 63))]
+
+
+def test_blank_lines_are_told_by_trimming_once(spark):
+    """The cheaper test of a line equals trimming both ends."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.frame import WHITE
+    from tessera.llm.line_dedup import _worded
+
+    odd = spark.createDataFrame([(x,) for x in ("", None, " ", "\t \r", "a", " a ", "\x0b\x0c", "é\r", "\x1f", " 　 ")], "s string")
+    assert odd.where(~_worded(F.col("s")).eqNullSafe(F.btrim(F.col("s"), F.lit(WHITE)) != "")).count() == 0
+    assert "btrim" not in str(_worded(F.col("s"))).lower() and "TrimBoth" not in str(_worded(F.col("s")))
