@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.plans.ship import ensure
 
@@ -63,6 +66,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's, as a part of the plan: rows that are given as Python objects
+    would start further Python workers on the executors to be read."""
+    kind = StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(to_arrow_schema(kind))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kind.names), kind)
+
+
 def thinned(df: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
     """About four times ``wanted`` rows of ``total`` by least hash of their key, so that taking
     the ``wanted`` first of them moves few rows from each partition."""
@@ -70,6 +81,15 @@ def thinned(df: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
+def give_back() -> None:
+    """Give the memory that has been freed back to the machine: Arrow's pool and the C heap keep it,
+    and a worker that waits for its next task holds it beside the executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` over batches of at most ``rows`` rows.  The session's own limits of a batch,
     in rows and bytes, are left as they are; its batches are cut here."""
@@ -79,5 +99,11 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
+            del batch
+            give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(cut(batches))
+        give_back()
 
-    return df.mapInArrow(lambda batches: work(cut(batches)), schema)
+    return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import SPLIT, WHITE, Frame, let
+from tessera.llm.frame import SPLIT, WHITE, Frame, let, local
 from tessera.plans.scratch import kept, staged
 
 WEIGHTS = (1, 2, 3)
@@ -79,7 +79,7 @@ def _prefix(df: DataFrame, order: list[Column], amount: str, group: list[str], o
         seen[key] = seen.get(key, 0) + row["s"]
     kinds = dict(ranged.dtypes)
     schema = ", ".join(["p int", *(f"g{i} {kinds[g]}" for i, g in enumerate(group)), "before long"])
-    known = spark.createDataFrame(offsets, schema)
+    known = local(spark, offsets, schema)
     on = F.col("part") == F.col("p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"g{i}"))
@@ -98,9 +98,7 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS
     goal = targets(sizes, weights, epochs)
     exact = whole(goal)
     sources = F.broadcast(
-        spark.createDataFrame(
-            [(s, sizes[s], goal[s], exact[s]) for s in goal], "src string, source_size long, target double, words long"
-        )
+        local(spark, [(s, sizes[s], goal[s], exact[s]) for s in goal], "src string, source_size long, target double, words long")
     )
     known = rows.join(sources, F.col("source").eqNullSafe(F.col("src"))).drop("src")
     # The queue of each source in shuffled order.

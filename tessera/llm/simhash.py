@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import Frame, map_batches
+from tessera.llm.frame import Frame, local, map_batches
 from tessera.operators.components import connected_components
 from tessera.plans.prune import maybe_in, not_in
 from tessera.plans.scratch import few, kept, staged
@@ -197,7 +197,7 @@ def _factor(df: DataFrame, left: dict[int, list[int]], radius: int) -> tuple[Dat
             to = path * (radius + 1) + i + 1000
             rest[to] = [b for b in bits if b not in part]
             options.append((path, to, mask([b for b in range(BITS) if b not in rest[to]])))
-    table = df.sparkSession.createDataFrame(options, "path int, to int, mask long")
+    table = local(df.sparkSession, options, "path int, to int, mask long")
     return df.join(F.broadcast(table), "path").select(
         "fp", F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits")
     ), rest
