@@ -370,19 +370,46 @@ def sketches(docs: DataFrame, shingle: int, width: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "t", F.col("text").cast("binary").alias("text")), work, "doc_id long, t long, fp long, n int, bands array<long>, least binary")
 
 
-def _crossing(least: float, agree: int, held: int = 1 << 16, made: int = 1 << 17):
-    """``h, label, t, fp, n, least`` in order of ``h, label`` -> pairs of texts with one ``h`` and
-    different labels whose sizes leave room for the similarity and whose least hashes agree well
-    enough.  Texts of one ``h`` that are unlike each other are compared here, in blocks, by these
-    bytes; only pairs that are likely similar are rows of the result."""
+def _crossing(width: int, least: float, agree: int, held: int = 1 << 16, size: int = 1 << 23, made: int = 1 << 17):
+    """``h, label, fp, n, least, text`` in order of ``h, label`` -> links between texts of one ``h``
+    and different labels.  Two texts whose sizes leave room for the similarity and whose least hashes
+    agree well enough are compared by their shingles here, unless the links of this ``h`` join their
+    labels already; so a run of one ``h`` gives fewer links than it has labels, never its pairs."""
 
-    def pairs(h: np.ndarray, label: np.ndarray, t: np.ndarray, fp: np.ndarray, n: np.ndarray, small: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(h: np.ndarray, label: np.ndarray, fp: np.ndarray, n: np.ndarray, small: np.ndarray, text: pa.Array) -> pa.RecordBatch:
         new = np.flatnonzero((h[1:] != h[:-1]) | (label[1:] != label[:-1])) + 1
         run = np.flatnonzero(h[1:] != h[:-1]) + 1
         every = np.arange(len(h))
-        first = np.append(new, len(h))[np.searchsorted(new, every, "right")]
+        group = np.searchsorted(new, every, "right")
+        first = np.append(new, len(h))[group]
         last = np.append(run, len(h))[np.searchsorted(run, every, "right")]
         more = np.cumsum(last - first)
+        parent, src, dst = list(range(len(new) + 1)), [], []
+        known: dict[int, np.ndarray] = {}
+        room = 0
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        def hashes(i: int) -> np.ndarray:
+            nonlocal room
+            if i not in known:
+                if room > 1 << 20:
+                    known.clear()
+                    room = 0
+                known[i] = shingle_hashes(text[i].as_py(), width)
+                room += len(known[i])
+            return known[i]
+
+        def similar(i: int, j: int) -> bool:
+            x, y = hashes(i), hashes(j)
+            both = np.sort(np.concatenate((x, y)))
+            shared = int((both[1:] == both[:-1]).sum())
+            return shared >= least * (len(x) + len(y) - shared) - 1e-9 and similarity(text[i].as_py(), text[j].as_py(), width) >= least
+
         start = 0
         while start < len(h):
             done = more[start - 1] if start else 0
@@ -394,31 +421,42 @@ def _crossing(least: float, agree: int, held: int = 1 << 16, made: int = 1 << 17
             a, b = a[keep], b[keep]
             keep = (small[a] == small[b]).sum(axis=1) >= agree
             a, b = a[keep], b[keep]
-            swap = t[a] > t[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[a], fp[a], t[b], fp[b])], ["a", "fa", "b", "fb"])
+            for i, j, of, to in zip(a.tolist(), b.tolist(), group[a].tolist(), group[b].tolist(), strict=True):
+                x, y = root(of), root(to)
+                if x != y and similar(i, j):
+                    parent[max(x, y)] = min(x, y)
+                    src.append(i)
+                    dst.append(j)
             start = end
+        return pa.RecordBatch.from_arrays([pa.array(fp[np.array(x, np.int64)]) for x in (src, dst)], ["src", "dst"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        rows = 0
+        parts: list[list] = []
+        rows = held_size = 0
+
+        def joined() -> list:
+            *columns, texts = zip(*parts, strict=True)
+            return [*(np.concatenate(c) for c in columns), pa.concat_arrays(texts)]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            small = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            parts.append([*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]), small])
+            small = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            parts.append([*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]), small, batch.column(5).cast(pa.large_binary())])
             rows += batch.num_rows
-            if rows < held:
+            held_size += batch.column(5).nbytes
+            if rows < held and held_size < size:
                 continue
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            columns = joined()
             cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last run may go on
             if cut:
-                yield from pairs(*(c[:cut] for c in columns))
+                yield links(*(c[:cut] for c in columns))
             parts, rows = [[c[cut:] for c in columns]], 0
+            held_size = 0
         if parts:
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            columns = joined()
             if len(columns[0]):
-                yield from pairs(*columns)
+                yield links(*columns)
 
     return work
 
@@ -450,11 +488,13 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, le
     shared = staged(_spread(index.join(heads.select("h", "head", "m"), "h")), "shared-rows")
     texts = docs.select("t", F.col("text").cast("binary").alias("text"))
 
+    def wanted(ends: DataFrame) -> DataFrame:
+        found = maybe_in(texts, ends, ["t"]).join(ends, "t").groupBy("t").agg(F.first("text").alias("text"))
+        return staged(_spread(found), "wanted")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-        wanted = maybe_in(texts, ends, ["t"]).join(ends, "t").groupBy("t").agg(F.first("text").alias("text"))
-        wanted = staged(_spread(wanted), "wanted")
-        both = pairs.join(wanted.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(wanted.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
+        have = wanted(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct())
+        both = pairs.join(have.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(have.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
         return staged(_spread(map_batches(both.select("fa", "fb", "x", "y"), _confirm(width, least), "src long, dst long", 500).distinct()), "confirmed")
 
     def fits(a: Column, b: Column) -> Column:
@@ -472,10 +512,10 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, le
     marked = staged(_spread(marked), "marked")
     mixed = marked.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
     open_ = marked.join(mixed, "h", "left_semi").join(single.select("t", "fp", "least"), ["t", "fp"])
-    runs = open_.select("h", "label", "t", "fp", "n", "least").repartition("h").sortWithinPartitions("h", "label")
-    every = map_batches(runs, _crossing(least, AGREE), "a long, fa long, b long, fb long", 10_000).distinct()
-    rest = staged(_spread(every.join(tested, ["a", "fa", "b", "fb"], "left_anti")), "crossing")
-    return first.unionByName(confirmed(rest))
+    open_ = open_.join(wanted(open_.select("t").distinct()), "t")
+    runs = open_.select("h", "label", "fp", "n", "least", "text").repartition("h").sortWithinPartitions("h", "label")
+    rest = map_batches(runs, _crossing(width, least, AGREE), "src long, dst long", 10_000).distinct()
+    return first.unionByName(staged(_spread(rest), "crossing"))
 
 
 def _spread(df: DataFrame) -> DataFrame:

@@ -52,3 +52,16 @@ def test_local_tables(spark):
     got = local(spark, rows, kind)
     assert got.schema == spark.createDataFrame(rows, kind).schema and sorted(map(tuple, got.collect()))[::-1] == rows
     assert local(spark, [], kind).count() == 0
+
+
+def test_a_group_of_pairs_gives_links_only():
+    """60 texts of one row, alike in two groups: links that join each, not the pairs."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:100] if k % 2 else words[100:]) + f" x{k} y{k}" for k in range(60)]
+    rows = [(7, k, k + 1000, 98, b"\0" * 96, t.encode()) for k, t in enumerate(texts)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], list("abcdef")) for part in (rows[:25], rows[25:])]
+    for size in (1, 1 << 23):
+        found = [(a, b) for out in simhash._crossing(5, 0.8, 58, size=size)(iter(batches)) for a, b in zip(*out.to_pydict().values(), strict=True)]
+        assert len(found) == 58 and all((a - b) % 2 == 0 for a, b in found)
+        assert {x for pair in found for x in pair} == set(range(1000, 1060))
