@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frame import Frame, map_batches
+from tessera.llm.frame import Frame, local, map_batches
 from tessera.plans.scratch import kept, staged
 
 HEAD, TAILS, CLASSES = 1000, 128, 48
@@ -258,8 +258,10 @@ def _neighbours(shared, classes: int):
             for w in numbers.words[len(cls) :]:
                 cls.append(seeds(w))
                 free.append(w not in seeds.head)
-            ids = np.array(seen, np.int64)
-            of, moves = np.array(cls)[ids], np.array(free)[ids]
+            # Half the memory where that holds the numbers.
+            kind = np.int32 if len(cls) * codes < 1 << 31 else np.int64
+            ids = np.array(seen, kind)
+            of, moves = np.array(cls, kind)[ids], np.array(free)[ids]
             before, after = ids[1:] * codes + of[:-1], ids[:-1] * codes + classes + of[1:]
             made += [before[moves[1:]], after[moves[:-1]]]
             size += len(made[-1]) + len(made[-2])
@@ -420,7 +422,7 @@ def train(texts: DataFrame, head: int = HEAD, tails: int = TAILS, classes: int =
     near = map_batches(texts, _neighbours(context.broadcast(seeds), classes), "wid long, cls int, events array<int>")
     dealt = near.repartition("wid").sortWithinPartitions("wid")
     moved = map_batches(dealt, _move(context.broadcast(Gains(n))), "wid long, cls int", 1 << 15)
-    of_units = texts.sparkSession.createDataFrame([(wid(w), int(c)) for w, c in seeds.head.items()], "wid long, cls int")
+    of_units = local(texts.sparkSession, [(wid(w), int(c)) for w, c in seeds.head.items()], "wid long, cls int")
     words = kept(counts.select("wid", "word", "c", "end").join(moved.unionByName(of_units), "wid"))
     per_class = words.groupBy("cls").agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens")).collect()
     types, tokens = np.zeros(classes), np.zeros(classes)

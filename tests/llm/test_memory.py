@@ -1,11 +1,13 @@
 import re
 import sys
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, simhash
+from tessera.llm import lm, mixing, simhash
 from tessera.llm.frame import map_batches
 
 
@@ -65,3 +67,22 @@ def test_a_group_of_pairs_gives_links_only():
         found = [(a, b) for out in simhash._crossing(5, 0.8, 58, size=size)(iter(batches)) for a, b in zip(*out.to_pydict().values(), strict=True)]
         assert len(found) == 58 and all((a - b) % 2 == 0 for a, b in found)
         assert {x for pair in found for x in pair} == set(range(1000, 1060))
+
+
+def test_classes_of_units_start_no_python_worker(spark):
+    texts = spark.range(40).select(F.concat(F.lit("a b c d w"), F.col("id").cast("string")).cast("binary").alias("text"))
+    trained = lm.train(texts, head=5, tails=4, classes=3, known=5)
+    assert "LogicalRDD" not in trained.words._jdf.queryExecution().analyzed().toString()
+    assert trained.words.count() == 4 + 40 + 1
+
+
+def test_neighbours_hold_small_numbers():
+    """What a worker holds for its events: 4 bytes for each, where it took 8."""
+    seeds = type("Shared", (), {"value": lm.Seeds([lm.END, b"a"], 4, np.arange(6) % 3)})
+    batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(b"a" if k % 2 else b"w%d" % (k % 1000) for k in range(400_000))])], ["text"])
+    list(lm._neighbours(seeds, 3)(iter([batch])))
+    tracemalloc.start()
+    out = list(lm._neighbours(seeds, 3)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(b) for b in out) == 500 and most < 20_000_000
