@@ -240,6 +240,31 @@ def test_placement_beside_a_copy(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(db.execute(ORACLES[name]).fetchall()), name
 
 
+def test_hit_rate_is_over_all_rows(spark, tmp_path, monkeypatch):
+    """Each row asks for its neighbours, in one block and in units; two near rows whose ids 20 does not divide count."""
+    import duckdb
+    import numpy as np
+
+    from tessera.operators import vectors
+    from tessera.queries import ORACLES, QUERIES
+
+    rows = unit_rows(300, 16, 11)
+    rows[7] = rows[8]
+    spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = np.array(rows, dtype="float32").astype(float)
+    own = 9 * np.eye(len(x))
+    alike = (own - x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2)).argsort(axis=1, kind="stable")[:, :15]
+    close = (own + ((x[:, None, :2] - x[None, :, :2]) ** 2).sum(axis=2)).argsort(axis=1, kind="stable")[:, :5]
+    want = round(float(np.mean([j in alike[i] for i in range(len(x)) for j in close[i]])), 6)
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert db.execute(ORACLES["hit_rate_at_k"]).fetchall() == [(want,)]
+    assert QUERIES["hit_rate_at_k"](spark, str(tmp_path)).collect() == [(want,)]
+    monkeypatch.setattr(vectors, "BLOCK", 12)
+    monkeypatch.setattr(vectors, "ROWS", 50)
+    assert QUERIES["hit_rate_at_k"](spark, str(tmp_path)).collect() == [(want,)]
+
+
 def test_vectors_that_are_null_or_not_numbers(spark):
     from tessera.operators import vectors
 
